@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {}
 
 _MODULES = (
     "quarry.plans.saturation_queries",
+    "quarry.plans.log_queries",
 )
 
 
