@@ -38,38 +38,38 @@ def _substrings(col: Column) -> Column:
     )).otherwise(F.array().cast("array<string>"))
 
 
-def substring_fallback(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
-                       order_col: str, value_cols: Sequence[str]) -> DataFrame:
+def substring_fallback(left: DataFrame, id_col: str, name_col: str, right: DataFrame,
+                       right_key: str, order_col: str, value_cols: Sequence[str]) -> DataFrame:
     """For each left row, the first right row (in ``order_col`` order) whose
-    normalised key is contained in the left's normalised key or contains it.
+    normalised key is contained in the left's normalised name or contains it.
 
     Both directions are equi-joins on enumerated substrings (names are short), so
     no nested-loop or cartesian join is needed at any size.  Left rows without a
-    match get null values.  ``left`` must carry a unique ``left_key``.
+    match get null values.  ``id_col`` identifies left rows.
     """
-    lk = left.select(left_key, normalize_key(left_key).alias("_ln"))
+    lk = left.select(id_col, normalize_key(name_col).alias("_ln"))
     rk = right.select(normalize_key(right_key).alias("_rn"), order_col, *value_cols)
-    # right key inside left key
-    a = (lk.select(left_key, "_ln", F.explode(_substrings(F.col("_ln"))).alias("_s")).distinct()
+    # right key inside left name
+    a = (lk.select(id_col, F.explode(_substrings(F.col("_ln"))).alias("_s")).distinct()
          .join(rk, F.col("_s") == F.col("_rn")))
-    # left key inside right key
+    # left name inside right key
     b = (rk.select("*", F.explode(_substrings(F.col("_rn"))).alias("_s"))
          .join(lk, F.col("_s") == F.col("_ln")))
-    cols = [left_key, order_col, *value_cols]
+    cols = [id_col, order_col, *value_cols]
     cand = a.select(*cols).unionByName(b.select(*cols))
-    best = cand.groupBy(left_key).agg(
-        F.min_by(F.struct(*value_cols), F.col(order_col)).alias("_v"))
-    return left.join(best, left_key, "left").select(
+    best = cand.groupBy(id_col).agg(F.min_by(F.struct(*value_cols), F.col(order_col)).alias("_v"))
+    return left.join(best, id_col, "left").select(
         *left.columns, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
 
 
-def lookup_with_fallback(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
-                         order_col: str, value_cols: Sequence[str], test_col: str) -> DataFrame:
+def lookup_with_fallback(left: DataFrame, id_col: str, name_col: str, right: DataFrame,
+                         right_key: str, order_col: str, value_cols: Sequence[str],
+                         test_col: str) -> DataFrame:
     """J1 then J2 where J1 gave ``test_col == 0`` (the reference's exact rule)."""
-    first = normalized_lookup(left, left_key, right, right_key, value_cols, order_col)
+    first = normalized_lookup(left, name_col, right, right_key, value_cols, order_col)
     hit = first.where(F.col(test_col) != 0)
     miss = first.where(F.col(test_col) == 0).drop(*value_cols)
-    fb = substring_fallback(miss, left_key, right, right_key, order_col, value_cols)
+    fb = substring_fallback(miss, id_col, name_col, right, right_key, order_col, value_cols)
     for c in value_cols:
         fb = fb.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
     return hit.unionByName(fb.select(*hit.columns))

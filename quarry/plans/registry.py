@@ -18,6 +18,7 @@ ORACLE: dict[str, str] = {}
 _MODULES = (
     "quarry.plans.saturation_queries",
     "quarry.plans.log_queries",
+    "quarry.plans.faq_queries",
 )
 
 
