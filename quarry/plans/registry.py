@@ -19,6 +19,7 @@ _MODULES = (
     "quarry.plans.saturation_queries",
     "quarry.plans.log_queries",
     "quarry.plans.faq_queries",
+    "quarry.plans.text_queries",
 )
 
 
