@@ -20,6 +20,7 @@ _MODULES = (
     "quarry.plans.log_queries",
     "quarry.plans.faq_queries",
     "quarry.plans.text_queries",
+    "quarry.plans.vector_queries",
 )
 
 
