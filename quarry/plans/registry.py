@@ -21,6 +21,7 @@ _MODULES = (
     "quarry.plans.faq_queries",
     "quarry.plans.text_queries",
     "quarry.plans.vector_queries",
+    "quarry.plans.cluster_queries",
 )
 
 
