@@ -152,3 +152,11 @@ def saturation_words(spark, sf):
     words = docs.select(F.explode(clean_tokens("text")).alias("word"))
     sizes = words.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
     return sat.saturation_curve(sat.coverage_curve(sizes, "size", ["word"]))
+
+
+@register("k2_saturation_json")
+def k2_saturation_json(spark, sf):
+    """K2 + F25: the dashboard document {metadata, curve[201]} as one JSON row."""
+    from quarry.sources.sinks import saturation_document
+    curve = _part_curve(spark, sf)
+    return saturation_document(sat.saturation_curve(curve), sat.saturation_metadata(curve))
