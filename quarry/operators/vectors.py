@@ -74,17 +74,14 @@ def fuse(dense: Column, sparse: Column | None, alpha: float,
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def hashed_char_embedding(text: Column, dim: int = 64, n: int = 3, seed: int = 42) -> Column:
-    """M7 default encoder (no model files): character ``n``-grams hashed into ``dim``
-    signed buckets (xxhash64 with ``seed``), i.e. a feature-hashing sketch of the
-    text, L2-normalised.  A model-backed encoder plugs in as a column instead."""
+def hashed_char_embedding(df: DataFrame, text_col: str, out_col: str = "dense", dim: int = 64,
+                          n: int = 3) -> DataFrame:
+    """M7 default encoder (no model files): character ``n``-grams of the text
+    hashed into ``dim`` buckets by MLlib ``HashingTF`` (JVM-side), L2-normalised.
+    A model-backed encoder plugs in instead as an input column."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
     from quarry.operators.tfidf import char_terms
-    grams = char_terms(text, (n, n))
-    h = F.transform(grams, lambda g: F.xxhash64(g, F.lit(seed)))
-    buckets = F.transform(h, lambda x: F.pmod(x, F.lit(dim)).cast("int"))
-    signs = F.transform(h, lambda x: F.when(F.shiftright(x, 63) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
-    pairs = F.arrays_zip(buckets.alias("b"), signs.alias("s"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.aggregate(F.filter(pairs, lambda p: p["b"] == i), F.lit(0.0),
-                                            lambda acc, p: acc + p["s"]))
-    return l2_normalize(vec)
+    grams = df.withColumn("_grams", char_terms(F.col(text_col), (n, n)))
+    tf = HashingTF(numFeatures=dim, inputCol="_grams", outputCol="_h").transform(grams)
+    return tf.withColumn(out_col, l2_normalize(vector_to_array("_h").cast("array<double>"))).drop("_grams", "_h")
