@@ -35,8 +35,8 @@ HEADLINE = [
     "m1_tfidf_weights",            # TF-IDF (reference: ~10 s / 100k)
     "m4_top_keywords",
     "e_quality_scores",            # silhouette / DB / CH
-    "kmeans_clusters",             # k-means (reference: ~1 min / 100k)
-    "dbscan_clusters",             # density clustering
+    "c1_kmeans_clusters",          # k-means (reference: ~1 min / 100k)
+    "c4_dbscan_clusters",          # density clustering
 ]
 
 

@@ -61,9 +61,12 @@ def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence
     ``docs`` holds one row per document with an array column of terms.
     """
     g = list(group_cols)
-    n_docs = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"))
-    exploded = docs.select(*g, id_col, F.explode(terms_col).alias("term"))
-    tf = exploded.groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # one pass over the texts: explode_outer keeps documents without any term
+    # (null term) so the document count comes from the same aggregate
+    exploded = docs.select(*g, id_col, F.explode_outer(terms_col).alias("term"))
+    tf_all = exploded.groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    n_docs = tf_all.groupBy(*g).agg(F.countDistinct(id_col).alias("n_docs"))
+    tf = tf_all.where(F.col("term").isNotNull())
     stats = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if g:  # one row per group: broadcast
         stats = stats.join(F.broadcast(n_docs), g)
