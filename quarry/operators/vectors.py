@@ -20,10 +20,17 @@ def sq_norm(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
+def _with_each(vec: Column, value: Column, fn) -> Column:
+    """``transform(vec, v -> fn(v, value))`` with ``value`` evaluated ONCE per row:
+    a lambda that referenced an outer expression would re-evaluate it for every
+    element once Catalyst inlines it."""
+    return F.zip_with(vec, F.array_repeat(value, F.size(vec)), fn)
+
+
 def l2_normalize(vec: Column) -> Column:
     """M8: row / ||row||; all-zero rows stay zero."""
     n = F.sqrt(sq_norm(vec))
-    return F.when(n > 0, F.transform(vec, lambda v: v / n)).otherwise(vec)
+    return _with_each(vec, F.when(n > 0, n).otherwise(F.lit(1.0)), lambda v, m: v / m)
 
 
 def scale(vec: Column, factor: float) -> Column:
@@ -51,9 +58,9 @@ def sparse_to_dense(weights: DataFrame, id_cols: Sequence[str], size: int,
     grouped = weights.groupBy(*id_cols).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(index_col).cast("int"), F.col(value_col))))
         .alias("_m"))
-    return grouped.select(*id_cols, F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                                               lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-                          .alias("sparse"))
+    idx = F.sequence(F.lit(0), F.lit(size - 1))
+    return grouped.select(*id_cols, F.zip_with(idx, F.array_repeat(F.col("_m"), F.lit(size)),
+                                               lambda i, m: F.coalesce(m[i], F.lit(0.0))).alias("sparse"))
 
 
 def fuse(dense: Column, sparse: Column | None, alpha: float,
@@ -85,3 +92,17 @@ def hashed_char_embedding(df: DataFrame, text_col: str, out_col: str = "dense",
     grams = df.withColumn("_grams", char_terms(F.col(text_col), (n, n)))
     tf = HashingTF(numFeatures=dim, inputCol="_grams", outputCol="_h").transform(grams)
     return tf.withColumn(out_col, l2_normalize(vector_to_array("_h").cast("array<double>"))).drop("_grams", "_h")
+
+
+def jaccard_distance(a_terms: Column, b_terms: Column) -> Column:
+    """Jaccard distance of two term sets (non-zero TF-IDF entries); two empty sets -> 0."""
+    inter = F.size(F.array_intersect(a_terms, b_terms))
+    union = F.size(F.array_union(a_terms, b_terms))
+    return F.when(union == 0, F.lit(0.0)).otherwise(F.lit(1.0) - inter / union)
+
+
+def hybrid_distance(a_dense: Column, b_dense: Column, a_terms: Column, b_terms: Column,
+                    alpha: float = 0.7) -> Column:
+    """``alpha * cosine(dense) + (1 - alpha) * jaccard(terms)`` for a pair."""
+    return F.lit(alpha) * cosine_distance(a_dense, b_dense) + \
+        F.lit(1.0 - alpha) * jaccard_distance(a_terms, b_terms)

@@ -22,6 +22,7 @@ _MODULES = (
     "quarry.plans.text_queries",
     "quarry.plans.vector_queries",
     "quarry.plans.cluster_queries",
+    "quarry.plans.misc_queries",
 )
 
 
