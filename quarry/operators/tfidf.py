@@ -101,12 +101,18 @@ def top_terms(weights: DataFrame, id_cols: Sequence[str], k: int = 5) -> DataFra
 
 
 def length_zscore(df: DataFrame, count_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """M5: z-score with the POPULATION standard deviation; zero variance -> 0."""
-    w = Window.partitionBy(*group_cols)
-    mean = F.avg(count_col).over(w)
-    std = F.stddev_pop(count_col).over(w)
-    return df.withColumn("length_z", F.when(std == 0, F.lit(0.0))
-                         .otherwise((F.col(count_col) - mean) / std))
+    """M5: z-score with the POPULATION standard deviation; zero variance -> 0.
+    Mean and deviation are grouped aggregates (partial, map-side) joined back as
+    one row per group: no window holding a whole (possibly hot) group."""
+    g = list(group_cols)
+    if g:
+        stats = df.groupBy(*g).agg(F.avg(count_col).alias("_mu"), F.stddev_pop(count_col).alias("_sd"))
+        out = df.join(F.broadcast(stats), g)
+    else:  # global: two scalar subqueries
+        out = df.withColumn("_mu", df.select(F.avg(count_col)).scalar()) \
+                .withColumn("_sd", df.select(F.stddev_pop(count_col)).scalar())
+    return out.withColumn("length_z", F.when(F.col("_sd") == 0, F.lit(0.0))
+                          .otherwise((F.col(count_col) - F.col("_mu")) / F.col("_sd"))).drop("_mu", "_sd")
 
 
 def one_hot_index(df: DataFrame, cols: Sequence[str], unknown: str = "Unknown") -> DataFrame:
