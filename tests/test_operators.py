@@ -268,3 +268,26 @@ def test_e8_guards(spark):
     noise = spark.createDataFrame([(1, -1, [0.0], 2)], "id long, label int, features array<double>, count long")
     c2 = scores.evaluate(noise, "id").first()
     assert c2["total_clusters"] == 0 and c2["noise_ratio_pct"] == 100.0 and c2["top_10_pct_coverage"] == 0.0
+
+
+def test_hybrid_knn_bruteforce(spark):
+    from quarry.operators.neighbours import hybrid_knn
+    rng = np.random.default_rng(11)
+    X = rng.normal(0, 1, (60, 8))
+    X[5] = 0.0  # a zero vector: cosine distance 1 to everything
+    vocab = ["a", "b", "c", "d", "e", "f"]
+    T = [sorted(set(rng.choice(vocab, size=int(rng.integers(0, 4))))) for _ in range(60)]
+    rows = [(i, [float(v) for v in X[i]], T[i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, t array<string>")
+    got = {(r["src"], r["rank"]): r["dst"] for r in hybrid_knn(df, "id", "v", "t", 4, 0.7).collect()}
+
+    def h(i, j):
+        ni, nj = np.linalg.norm(X[i]), np.linalg.norm(X[j])
+        cd = 1.0 if ni * nj == 0 else 1.0 - X[i] @ X[j] / (ni * nj)
+        u = set(T[i]) | set(T[j])
+        jd = 0.0 if not u else 1.0 - len(set(T[i]) & set(T[j])) / len(u)
+        return 0.7 * cd + 0.3 * jd
+    for i in range(60):
+        order = sorted((h(i, j), j) for j in range(60) if j != i)
+        for r in range(4):
+            assert got[(i, r + 1)] == order[r][1]
