@@ -37,6 +37,8 @@ HEADLINE = [
     "e_quality_scores",            # silhouette / DB / CH
     "c1_kmeans_clusters",          # k-means (reference: ~1 min / 100k)
     "c4_dbscan_clusters",          # density clustering
+    "j11_knn_graph",               # exact 15-NN graph (reference: distances ~5 min / 100k)
+    "c5_hdbscan_clusters",         # HDBSCAN re-aim (reference: ~3 min / 100k)
 ]
 
 
