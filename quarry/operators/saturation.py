@@ -51,7 +51,8 @@ def prefix_rank(df: DataFrame, size_col: str, tie_cols: Sequence[str],
                                                    F.sum(size_col).alias("_s"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
-    # at most (#partitions + #groups) rows: a bounded broadcast
+    # at most (#partitions + #groups) rows; broadcast by hint only when ungrouped
+    # (bounded by the partition count), otherwise AQE decides on the runtime size
     offsets = stats.select(*group_cols, "_pid",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank_off"),
                            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_cum_off"),
@@ -61,7 +62,7 @@ def prefix_rank(df: DataFrame, size_col: str, tie_cols: Sequence[str],
     ranked = (parts
               .withColumn("_lr", F.row_number().over(local))
               .withColumn("_lc", F.sum(size_col).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-              .join(F.broadcast(offsets), [*group_cols, "_pid"]))
+              .join(offsets if group_cols else F.broadcast(offsets), [*group_cols, "_pid"]))
     return ranked.select(*group_cols, *tie_cols, size_col,
                          (F.col("_rank_off") + F.col("_lr")).cast("bigint").alias("rank"),
                          (F.col("_cum_off") + F.col("_lc")).cast("bigint").alias("cum_size"),
@@ -104,8 +105,8 @@ def nearest_on_rank(curve: DataFrame, targets: Sequence[float] | None = None,
                     F.least(F.greatest(F.col("_base") + F.col("_off"), F.lit(1)),
                             F.col("n_types")).cast("bigint").alias("rank"))
             .distinct())
-    # #groups x #targets x 4 rows: bounded by the target list, broadcast
-    hits = curve.join(F.broadcast(cand), [*group_cols, "rank"])
+    # #groups x #targets x 4 rows: hinted only when ungrouped (804 rows at most)
+    hits = curve.join(cand if group_cols else F.broadcast(cand), [*group_cols, "rank"])
     best = (hits.groupBy(*group_cols, "target")
             .agg(F.min_by(F.struct("rank", "pct_question_types", "pct_queries_covered"),
                           F.struct(F.abs(F.col("pct_question_types") - F.col("target")), F.col("rank")))
@@ -129,7 +130,7 @@ def nearest_on_coverage(curve: DataFrame, targets: Sequence[float] = COVERAGE_TA
         F.struct(F.lit(float(t)).alias("target"), F.col(f"{side}{i}").alias("rank"))
         for i, t in enumerate(targets) for side in ("lo", "hi")])).alias("c"))
     cand = cand.select(*group_cols, "c.target", "c.rank").where(F.col("rank").isNotNull())
-    hits = curve.join(F.broadcast(cand), [*group_cols, "rank"])
+    hits = curve.join(cand if group_cols else F.broadcast(cand), [*group_cols, "rank"])
     best = (hits.groupBy(*group_cols, "target")
             .agg(F.min_by(F.struct("rank", "pct_question_types", "pct_queries_covered", "n_types"),
                           F.struct(F.abs(F.col("pct_queries_covered") - F.col("target")), F.col("rank")))

@@ -68,8 +68,8 @@ def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence
     n_docs = tf_all.groupBy(*g).agg(F.countDistinct(id_col).alias("n_docs"))
     tf = tf_all.where(F.col("term").isNotNull())
     stats = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    if g:  # one row per group: broadcast
-        stats = stats.join(F.broadcast(n_docs), g)
+    if g:  # one row per group: AQE broadcasts it when small
+        stats = stats.join(n_docs, g)
     else:
         stats = stats.withColumn("n_docs", n_docs.select(F.max("n_docs")).scalar())
     max_c = F.lit(max_df) if isinstance(max_df, int) else F.lit(float(max_df)) * F.col("n_docs")
@@ -82,8 +82,9 @@ def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence
         *g, "term", "df",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
         (F.row_number().over(Window.partitionBy(*g).orderBy("term")) - 1).alias("feature_index"))
-    # vocabulary: <= max_features rows per group, broadcast
-    wt = tf.join(F.broadcast(vocab.select(*g, "term", "idf", "feature_index")), [*g, "term"])
+    # vocabulary: <= max_features rows per group; hinted only for a single group
+    v = vocab.select(*g, "term", "idf", "feature_index")
+    wt = tf.join(v if g else F.broadcast(v), [*g, "term"])
     wt = wt.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = Window.partitionBy(*g, id_col)
     weights = wt.select(*g, id_col, "term", "feature_index", "tf",

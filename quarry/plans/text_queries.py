@@ -166,8 +166,8 @@ hits AS (SELECT DISTINCT d.doc_id, k.crop FROM (SELECT doc_id, unnest(tokens) AS
 SELECT crop, count(DISTINCT doc_id) AS n_texts FROM hits GROUP BY crop""")
 def j8_keyword_crops(spark, sf):
     """Keyword -> crop extraction.  The dictionary (top-10 words of every
-    crop = lang) is bounded by construction and broadcast; tokens of every
-    document are matched and distinct texts counted per crop."""
+    crop = lang) is joined to the tokens of every document (AQE broadcasts it
+    when small) and distinct texts are counted per crop."""
     docs = cleaned_docs(spark, sf)
     wc = (docs.select("lang", F.explode("tokens").alias("word"))
           .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
@@ -175,5 +175,5 @@ def j8_keyword_crops(spark, sf):
     dic = (wc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 10)
            .select("word", F.col("lang").alias("crop")))
     hits = (docs.select("doc_id", F.explode("tokens").alias("word"))
-            .join(F.broadcast(dic), "word").select("doc_id", "crop").distinct())
+            .join(dic, "word").select("doc_id", "crop").distinct())
     return hits.groupBy("crop").agg(F.countDistinct("doc_id").alias("n_texts"))
