@@ -108,7 +108,7 @@ def length_zscore(df: DataFrame, count_col: str, group_cols: Sequence[str] = ())
     g = list(group_cols)
     if g:
         stats = df.groupBy(*g).agg(F.avg(count_col).alias("_mu"), F.stddev_pop(count_col).alias("_sd"))
-        out = df.join(F.broadcast(stats), g)
+        out = df.join(stats, g)  # one row per group: AQE broadcasts it when small
     else:  # global: two scalar subqueries
         out = df.withColumn("_mu", df.select(F.avg(count_col)).scalar()) \
                 .withColumn("_sd", df.select(F.stddev_pop(count_col)).scalar())
