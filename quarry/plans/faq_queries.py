@@ -22,7 +22,6 @@ def mapping(spark, sf):
     """Stand-in for the per-crop mapping files: one row per unique (crop, text) of
     ``documents``; crop = lang, cluster = source number, ``src0`` is noise (-1),
     count = number of identical copies, keywords = first five cleaned words."""
-    from quarry.functions.text import STOP_WORDS  # noqa: F401
     d = table(spark, sf, "documents")
     m = d.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("count"))
     return m.select(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalize_key
 from quarry.operators import aggregates as agg
 from quarry.operators import filters as flt
 from quarry.plans.registry import register
