@@ -65,8 +65,11 @@ def letters_only(col: Column | str) -> Column:
 
 
 def clean_tokens(col: Column | str, stop_words: Iterable[str] | None = STOP_WORDS) -> Column:
-    """F11 as an array of tokens (stop words removed)."""
-    words = F.split(letters_only(col), " ")
+    """F11 as an array of tokens (stop words removed).  Splitting on runs of white
+    space right after the letters-only replacement yields exactly the tokens of
+    collapse + strip + split, with one regex pass less over every text."""
+    c = F.coalesce(_c(col).cast("string"), F.lit(""))
+    words = F.split(F.regexp_replace(F.lower(c), r"[^a-zA-Z\s]", " "), r"\s+")
     stops = list(stop_words or ())
     if stops:
         return F.filter(words, lambda t: (t != F.lit("")) & ~t.isin(stops))
