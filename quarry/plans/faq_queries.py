@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import clean_tokens, py_strip
+from quarry.functions.text import py_strip
 from quarry.operators import faq
 from quarry.operators.joins import lookup_with_fallback
 from quarry.operators.saturation import prefix_rank
 from quarry.plans.registry import register
-from quarry.plans.saturation_queries import clean_tokens_sql
 from quarry.plans.standins import np_round_sql, pct_sql
 from quarry.sources.tables import table
 
@@ -21,25 +20,39 @@ _WS = "' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f'"  # real control characters (DuckDB has
 def mapping(spark, sf):
     """Stand-in for the per-crop mapping files: one row per unique (crop, text) of
     ``documents``; crop = lang, cluster = source number, ``src0`` is noise (-1),
-    count = number of identical copies, keywords = first five cleaned words."""
+    count = number of identical copies, keywords = the text's five highest TF-IDF
+    terms (M4, vocabulary fitted per crop over the whole texts)."""
+    from quarry.operators.tfidf import top_terms
+    from quarry.plans.text_queries import _word_tfidf
     d = table(spark, sf, "documents")
+    _, w = _word_tfidf(spark, sf)
+    kw = top_terms(w, ["lang", "doc_id"], 5).select(
+        "lang", "doc_id", F.array_join("keywords", ", ").alias("kw"))
+    # identical texts of one crop have identical keywords: one value per (crop, text)
+    kwt = (d.select("doc_id", "lang", "text").join(kw, ["lang", "doc_id"])
+           .groupBy("lang", "text").agg(F.min("kw").alias("top_keywords")))
     m = d.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("count"))
+    m = m.join(kwt, ["lang", "text"], "left")
     return m.select(
         F.col("lang").alias("crop"), F.col("text").alias("query_text"),
         F.when(F.col("source") == "src0", F.lit(-1))
          .otherwise(F.substring("source", 4, 10).cast("int")).alias("cluster_id"),
-        "count",
-        F.array_join(F.slice(clean_tokens("text"), 1, 5), ", ").alias("top_keywords"))
+        "count", F.coalesce(F.col("top_keywords"), F.lit("")).alias("top_keywords"))
 
 
 def _mapping_sql():
-    from quarry.functions.text import STOP_WORDS
-    return f"""mapping AS (
-  SELECT lang AS crop, text AS query_text,
-         CASE WHEN source = 'src0' THEN -1 ELSE CAST(substr(source, 4) AS INTEGER) END AS cluster_id,
-         count(*) AS count,
-         array_to_string(list_slice({clean_tokens_sql('text', STOP_WORDS)}, 1, 5), ', ') AS top_keywords
-  FROM documents GROUP BY lang, source, text)"""
+    from quarry.plans.text_queries import _DOCS_SQL, _WORDS, _tfidf_sql
+    return f"""{_DOCS_SQL}, {_tfidf_sql(_WORDS)},
+kwr AS (SELECT lang, doc_id, term, row_number() OVER (PARTITION BY lang, doc_id ORDER BY w DESC, term) AS rn FROM wt),
+kwd AS (SELECT lang, doc_id, string_agg(term, ', ' ORDER BY rn) AS kw FROM kwr WHERE rn <= 5 GROUP BY ALL),
+kwt AS (SELECT dd.lang, dd.text, min(k.kw) AS kw FROM documents dd JOIN kwd k ON dd.doc_id = k.doc_id AND dd.lang = k.lang
+        GROUP BY dd.lang, dd.text),
+mapping AS (
+  SELECT m.lang AS crop, m.text AS query_text,
+         CASE WHEN m.source = 'src0' THEN -1 ELSE CAST(substr(m.source, 4) AS INTEGER) END AS cluster_id,
+         m.count, coalesce(kwt.kw, '') AS top_keywords
+  FROM (SELECT lang, source, text, count(*) AS count FROM documents GROUP BY lang, source, text) m
+  LEFT JOIN kwt ON m.lang = kwt.lang AND m.text = kwt.text)"""
 
 
 def _summary_sql():
