@@ -88,8 +88,10 @@ def faq_index(themes: DataFrame, crop_col: str = "crop") -> DataFrame:
 def cluster_matrix(mapping: DataFrame, group_cols: Sequence[str] = ("Experiment", "crop"),
                    top_k: int = 5, sep: str = " || ") -> DataFrame:
     """W3 + W4: clusters re-ranked 1..n per group by volume (ties by cluster id),
-    share of the non-noise group volume, running share (sum of unrounded shares,
-    rounded on output) and the ``top_k`` texts by count.
+    share of the non-noise group volume, running share and the ``top_k`` texts by
+    count.  The running share is the exact ratio cumulative volume / total (the
+    reference adds up unrounded float shares; both are rounded to 2 on output and
+    differ only by float drift).
 
     The ranking is the distributed prefix rank, so a group with a third of all
     clusters is spread over many tasks."""
