@@ -30,12 +30,14 @@ def normalized_lookup(left: DataFrame, left_col: str, right: DataFrame, right_co
 
 
 def _substrings(col: Column) -> Column:
-    """All non-empty substrings of a (short) string: at most len*(len+1)/2."""
+    """All non-empty substrings of a (short) string: at most len*(len+1)/2.
+    The string enters the lambdas as an argument (``array_repeat``), so it is
+    evaluated once per row, not once per substring."""
     n = F.length(col)
-    return F.when(n > 0, F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(col, i, j - i + 1)))
-    )).otherwise(F.array().cast("array<string>"))
+    per_start = F.zip_with(
+        F.sequence(F.lit(1), n), F.array_repeat(col, n),
+        lambda i, s: F.transform(F.sequence(i, F.length(s)), lambda j: F.substring(s, i, j - i + 1)))
+    return F.when(n > 0, F.flatten(per_start)).otherwise(F.array().cast("array<string>"))
 
 
 def substring_fallback(left: DataFrame, id_col: str, name_col: str, right: DataFrame,
