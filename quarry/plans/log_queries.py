@@ -315,3 +315,18 @@ def j1_normalized_lookup(spark, sf):
         F.col("Crop").alias("crop"), F.concat(F.upper("Crop"), F.lit(" ")).alias("log_name"))
     return normalized_lookup(names, "log_name", stats, "Crop", ["total_queries"]).select(
         "crop", "log_name", "total_queries")
+
+
+@register("k5_report_lines", sql=_w(f""", {_BY_YEAR_SQL}
+SELECT year, 0 AS section, printf('QUERY BUCKET DISTRIBUTION - %d', year) AS value FROM s GROUP BY year
+UNION ALL
+SELECT year, 1, printf('%-40s %10s %9s%%', Bucket, format('{{:,}}', Count), printf('%.2f', Percentage)) FROM s
+UNION ALL
+SELECT year, 2, printf('%-40s %s', 'Total Processed', format('{{:,}}', sum(Count))) FROM s GROUP BY year"""))
+def k5_report_lines(spark, sf):
+    """K5: the per-year bucket report as text lines (header, one line per bucket
+    with thousands separators and the share, 'Total Processed')."""
+    from quarry.sources.sinks import bucket_report_lines
+    by_year = agg.bucket_by_year(call_log(spark, sf, ["QueryType", "CallDate"]), "QueryType", "CallDate",
+                                 _mapping(spark))
+    return bucket_report_lines(by_year).select("year", F.col("_sec").alias("section"), "value")
