@@ -154,7 +154,27 @@ def saturation_words(spark, sf):
     return sat.saturation_curve(sat.coverage_curve(sizes, "size", ["word"]))
 
 
-@register("k2_saturation_json")
+_K2_SQL = f"""WITH {PART_SIZES_SQL},
+{ranked_sql('sizes', 'l_partkey')},
+grid AS (SELECT CAST(i AS DOUBLE) * 0.5 AS target FROM range(201) t(i)),
+best AS (SELECT g.target, p.rank, p.x, p.y,
+                row_number() OVER (PARTITION BY g.target ORDER BY abs(p.x - g.target), p.rank) AS rn
+         FROM grid g, pts p),
+curve AS (SELECT target, {np_round_sql('x', 2)} AS px, {np_round_sql('y', 2)} AS py FROM best WHERE rn = 1),
+near AS (
+  SELECT t.target, p.y, row_number() OVER (PARTITION BY t.target ORDER BY abs(p.x - t.target), p.rank) AS rn
+  FROM (VALUES (10.0), (20.0), (30.0)) t(target), pts p)
+SELECT to_json({{'metadata': {{
+    'total_queries': (SELECT max(total) FROM pts),
+    'total_question_types': (SELECT max(n_types) FROM pts),
+    'coverage_at_10pct': {np_round_sql("(SELECT y FROM near WHERE rn = 1 AND target = 10.0)", 2)},
+    'coverage_at_20pct': {np_round_sql("(SELECT y FROM near WHERE rn = 1 AND target = 20.0)", 2)},
+    'coverage_at_30pct': {np_round_sql("(SELECT y FROM near WHERE rn = 1 AND target = 30.0)", 2)},
+    'top_100_coverage': {np_round_sql("(SELECT y FROM pts WHERE rank = least(100, n_types))", 2)}}},
+  'curve': (SELECT list({{'pct_question_types': px, 'pct_queries_covered': py}} ORDER BY target) FROM curve)}})::VARCHAR AS value"""
+
+
+@register("k2_saturation_json", sql=_K2_SQL)
 def k2_saturation_json(spark, sf):
     """K2 + F25: the dashboard document {metadata, curve[201]} as one JSON row."""
     from quarry.sources.sinks import saturation_document
