@@ -11,7 +11,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     """CSV with a header and an explicit schema (no inference); quoted fields
     may span lines, as pandas allows."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_group_folders(spark: SparkSession, root: str, file_name: str, schema: T.StructType | str,

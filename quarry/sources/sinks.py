@@ -10,8 +10,11 @@ from quarry.functions.text import file_slug, sheet_label, thousands
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: CSV with a header (one file per task; no driver round trip)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """K1: CSV with a header (one file per task; no driver round trip).  Spark's
+    writer strips leading/trailing blanks by default; padded names such as
+    '\tPlant Protection\t' are data here, so both are kept."""
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def saturation_document(curve: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -43,7 +46,9 @@ def write_partitioned(df: DataFrame, path: str, group_col: str = "crop", mode: s
 def faq_files(themes: DataFrame, path: str, crop_col: str = "crop") -> None:
     """K4: per-crop FAQ tables as CSV partitions keyed by the file slug."""
     (themes.withColumn("file", file_slug(crop_col)).repartition("file")
-       .write.mode("overwrite").option("header", True).partitionBy("file").csv(path))
+       .write.mode("overwrite").option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .partitionBy("file").csv(path))
 
 
 def bucket_report_lines(by_year: DataFrame) -> DataFrame:

@@ -96,3 +96,16 @@ def test_stream_bucket_counts(spark, scratch):
     q.stop()
     total = spark.sql("SELECT sum(Count) FROM bucket_stream").first()[0]
     assert total == log.count()
+
+
+def test_csv_dirty_values(spark, scratch):
+    rows = [("what is \"best\" seed,\nfor wheat", "\tPlant Protection\t", "9999", 3),
+            ("", "Weather", "Paddy (Dhan)", 1), (None, None, " Others ", 2)]
+    schema = "query_text string, QueryType string, Crop string, count bigint"
+    df = spark.createDataFrame(rows, schema)
+    sinks.write_csv(df.coalesce(1), f"{scratch}/dirty")
+    back = files.read_csv(spark, f"{scratch}/dirty", schema)
+    got = sorted((tuple(r) for r in back.collect()), key=repr)
+    # CSV cannot tell '' from null: both come back as null, as with pandas read_csv
+    want = sorted([(rows[0]), (None, "Weather", "Paddy (Dhan)", 1), rows[2]], key=repr)
+    assert got == want
