@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import adsampling, exact_topk, mixing, simhash, token_files
+from quarry.llm import adsampling, exact_topk, html_text, licenses, mixing, quality, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
+    "op2_weak_label_quality": quality.query,
+    "op3_html_main_text": html_text.query,
+    "op4_license_scan": licenses.query,
     "op5_adaptive_dimension_scan": adsampling.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_source_mixing": mixing.query,
     "op9_exact_topk": exact_topk.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {}
