@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding (operator 7).
 
-The merges run in Spark: higher-order functions fold them over the byte arrays of distinct
-words, looking ranks up in one literal map.  Around the fold, two ``mapInArrow`` passes in
-the same stage collect the distinct words of a block of documents and put the words' ids
-back in place, so the corpus is read once and nothing is shuffled:
+The merges run in Spark: higher-order functions fold them over the bytes of distinct words, looking
+ranks up in one literal map; a word is folded once, however often the corpus has it.
 
-    scan -> split into words -> (A) distinct words of a block, documents as word numbers
-         -> fold merges over the word rows -> (B) ids of the documents
+1. Spark splits the texts into words.  A ``mapInArrow`` pass cuts each partition into blocks of
+   about ``BLOCK_WORDS`` words, numbers a block's distinct words, writes the block's documents as
+   word numbers to a file in the shared folder, and returns (block, number, word).
+2. The words are shuffled and grouped; each distinct word is folded to its ids.
+3. The ids go back to their blocks; a block's task reads its file and puts the ids in place.
 
-A block holds about ``BLOCK_WORDS`` word occurrences (a longer document is a block of its
-own), so memory is bounded whatever the partition size.
+So the texts themselves are never shuffled.  A block's file is written under an attempt's own name
+and renamed, with content that depends on the input alone.  Grouping is per ``GROUP`` partitions, so
+that the list of blocks of a frequent word is bounded.  Decoding concatenates the tokens' bytes.
 
-Defined results: a null text is an empty text (no ids); null doc_ids are kept; repeated
-rows are encoded each; extra input columns are dropped.
+Defined results: a null text is an empty text (no ids); null doc_ids are kept; repeated rows are
+encoded each; extra input columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,16 +23,21 @@ import base64
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word occurrences that share one set of distinct words.
-BLOCK_WORDS = 6_000_000
+from quarry.llm.common import partitions, shared_path, table, text_or_empty
+
+#: Word occurrences of a block (a longer document is a block of its own), texts handed over at
+#: once, and partitions whose blocks are grouped together.
+BLOCK_WORDS, GROUP = 3_000_000, 1024
 #: The literal map is cut into this many small maps, picked by CRC-32 of the key.
 BUCKETS = 1 << 15
 #: A rank is kept as one character, U+10000 + rank, so that characters order as ranks do.
@@ -109,3 +116,146 @@ def bpe_ids(word: Column, ranks: Column) -> Column:
         return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), fold)
 
     return _let(ranks, encode)
+
+
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
+    """(grp, block, number, word) of the blocks' distinct words, and number -1 once a block; writes
+    the blocks' files: doc ids, words per document, and the documents as word numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(out)
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        held: list[pa.RecordBatch] = []
+        n_blocks = n_words = 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal n_blocks, n_words
+            words = pa.chunked_array([b.column(1).flatten() for b in held], pa.string()).combine_chunks()
+            coded = words.dictionary_encode() if len(words) else pa.array([], pa.string()).dictionary_encode()
+            own = pa.table({"doc_id": pa.chunked_array([b.column(0) for b in held]),
+                            "words": pa.chunked_array([pc.list_value_length(b.column(1)) for b in held])})
+            name = part * (1 << 24) + n_blocks
+            path = f"{root}/block-{name}"
+            with fs.open_output_stream(f"{path}.attempt-{attempt}") as f:
+                for part_table in (own, pa.table({"number": coded.indices})):
+                    with pa.ipc.new_stream(f, part_table.schema,
+                                           options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                        stream.write_table(part_table)
+            fs.move(f"{path}.attempt-{attempt}", path)
+            found = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary])
+            for low in range(0, len(found), 50_000):
+                some = found.slice(low, 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), part // GROUP, np.int32)), pa.array(np.full(len(some), name)),
+                     pa.array(np.arange(low - 1, low - 1 + len(some), dtype=np.int32)), some],
+                    names=["grp", "block", "number", "word"])
+            held.clear()
+            n_blocks, n_words = n_blocks + 1, 0
+
+        for batch in batches:
+            # a batch may hold many long texts: it is cut where a block is full
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                before = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + BLOCK_WORDS - n_words, "right")))
+                held.append(batch.slice(low, high - low))
+                n_words += int(ends[high - 1]) - before
+                if n_words >= BLOCK_WORDS or high < batch.num_rows:
+                    yield from block()
+                low = high
+        if held:
+            yield from block()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(F.col("doc_id").cast(kind), F.regexp_extract_all(
+        text_or_empty(), F.lit(java_pattern(pattern)), F.lit(0)).alias("words")).mapInArrow(
+        run, "grp int, block long, number int, word string")
+
+
+def read_block(out: str, name: int) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """(doc ids, words per document, word numbers) of a block."""
+    fs, root = _open(out)
+    with fs.open_input_stream(f"{root}/block-{name}") as f:
+        own, numbers = (pa.ipc.open_stream(f).read_all() for _ in range(2))
+    return own["doc_id"], own["words"].to_numpy(), numbers["number"].to_numpy()
+
+
+def put_in_place(own: np.ndarray, numbers: np.ndarray, word_ids: np.ndarray, sizes: np.ndarray) -> tuple:
+    """(ids of all documents, start of each document and the end): word number k has the ids
+    ``word_ids[start_k:start_k + sizes[k]]``."""
+    starts = np.cumsum(sizes) - sizes
+    lengths = sizes[numbers]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(total)
+    return word_ids[at], np.append(0, ends)[np.append(0, np.cumsum(own))]
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str,
+             rows: Callable[[pa.ChunkedArray, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
+    """``rows(doc_ids, ids, starts)`` of every block."""
+    spark = docs.sparkSession
+    out = shared_path(spark, "bpe")
+    fs, root = _open(out)
+    fs.create_dir(root, recursive=True)
+    # dealt out by hand: folding is the work, and few bytes of words make much of it
+    n = 2 * partitions(docs)
+    words = (_words(docs, out, pattern).repartition(n, "grp", "word").groupBy("grp", "word")
+             .agg(F.collect_list(F.struct("block", "number")).alias("places")))
+    ids = words.select("places", F.when(F.col("word") != "", bpe_ids(F.col("word"), rank_map(ranks))).alias("ids"))
+    back = ids.select(F.explode("places").alias("at"), "ids").select("at.block", "at.number", "ids")
+
+    def block(found: pa.Table) -> pa.Table:
+        name = found["block"][0].as_py()
+        found = found.filter(pc.greater_equal(found["number"], 0)).sort_by("number")
+        text = found["ids"].combine_chunks()
+        word_ids = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64) - _BASE
+        doc_ids, own, numbers = read_block(out, name)
+        return rows(doc_ids, *put_in_place(own, numbers, word_ids,
+                                           pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    return back.groupBy("block").applyInArrow(block, schema)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row."""
+    def rows(doc_ids: pa.ChunkedArray, ids: np.ndarray, starts: np.ndarray) -> pa.Table:
+        listed = pa.LargeListArray.from_arrays(starts, pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
+        return pa.table({"doc_id": doc_ids, "n_tokens": np.diff(starts), "ids": listed})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _encoded(docs, ranks, pattern, f"doc_id {kind}, n_tokens long, ids array<int>", rows)
+
+
+def decode(ids: list[int], tokens: dict[int, bytes]) -> bytes:
+    """The tokens' bytes, one after the other."""
+    return b"".join(map(tokens.__getitem__, ids))
+
+
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    tokens = {rank: token for token, rank in ranks.items()}
+
+    def rows(doc_ids: pa.ChunkedArray, ids: np.ndarray, starts: np.ndarray) -> pa.Table:
+        coded, decoded = [], []
+        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            own = ids[low:high].tolist()
+            coded.append(hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(decode(own, tokens)).hexdigest())
+        return pa.table({"doc_id": doc_ids, "n_tokens": np.diff(starts),
+                         "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _encoded(docs, ranks, pattern,
+                    f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return digests(table(spark, sf_dir, "documents"),
+                   load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)

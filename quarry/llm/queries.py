@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import adsampling, exact_topk, html_text, licenses, mixing, quality, simhash, token_files, toxicity
+from quarry.llm import adsampling, bpe, exact_topk, html_text, licenses, mixing, quality, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": licenses.query,
     "op5_adaptive_dimension_scan": adsampling.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_byte_bpe": bpe.query,
     "op8_source_mixing": mixing.query,
     "op9_exact_topk": exact_topk.query,
     "op10_toxicity": toxicity.query,
