@@ -37,11 +37,14 @@ from quarry.llm.common import partitions, shared_path, table, text_or_empty
 
 #: Word occurrences of a block (a longer document is a block of its own), texts handed over at
 #: once, and partitions whose blocks are grouped together.
-BLOCK_WORDS, GROUP = 3_000_000, 1024
+BLOCK_WORDS, GROUP = 6_000_000, 1024
+#: Bits of a place that number a word within its block, and a block within its partition.
+_NUMBER, _BLOCK = 24, 18
 #: The literal map is cut into this many small maps, picked by CRC-32 of the key.
 BUCKETS = 1 << 15
-#: A rank is kept as one character, U+10000 + rank, so that characters order as ranks do.
-_BASE = 0x10000
+#: A rank is kept as one character, U+0800 + rank, so that characters order as ranks do (in three
+#: bytes each; ranks of 50,256 tokens end below the surrogates).
+_BASE = 0x800
 _NO_RANK = chr(0x10FFFF)
 #: Bytes are written as U+0000..U+00FF; beyond them, the piece at either end and the piece separator.
 _EDGE, _SEP = "\u0100", "\u0101"
@@ -75,7 +78,7 @@ def _let(value: Column, body) -> Column:
 
 
 def bpe_ids(word: Column, ranks: Column) -> Column:
-    """Ids of one word, one character (U+10000 + id) each: the leftmost lowest-ranked pair is
+    """Ids of one word, one character (U+0800 + id) each: the leftmost lowest-ranked pair is
     merged first, until no pair has a rank.
 
     The fold's state holds the pieces, joined by a separator, and the rank characters of the
@@ -123,8 +126,9 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
-    """(grp, block, number, word) of the blocks' distinct words, and number -1 once a block; writes
-    the blocks' files: doc ids, words per document, and the documents as word numbers."""
+    """(place, word) of the blocks' distinct words, and number 0 with an empty word once a block;
+    writes the blocks' files: doc ids, words per document, and the documents as word numbers.  A
+    place is partition, block and number in one long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(out)
@@ -136,23 +140,30 @@ def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
             nonlocal n_blocks, n_words
             words = pa.chunked_array([b.column(1).flatten() for b in held], pa.string()).combine_chunks()
             coded = words.dictionary_encode() if len(words) else pa.array([], pa.string()).dictionary_encode()
+            numbers, found = coded.indices.to_numpy(), coded.dictionary
+            if len(found) >= 1 << _NUMBER:
+                raise ValueError(f"a document of {len(words)} words has {len(found)} distinct ones")
+            # frequent words get small numbers: their high bytes, kept apart, compress to little
+            rank = np.empty(len(found), np.int64)
+            rank[np.argsort(-np.bincount(numbers, minlength=len(found)), kind="stable")] = np.arange(len(found))
+            planes = rank[numbers].astype("<u4").view(np.uint8).reshape(-1, 4) if len(numbers) else np.empty((0, 4), np.uint8)
             own = pa.table({"doc_id": pa.chunked_array([b.column(0) for b in held]),
                             "words": pa.chunked_array([pc.list_value_length(b.column(1)) for b in held])})
-            name = part * (1 << 24) + n_blocks
+            name = (part << _BLOCK) + n_blocks
             path = f"{root}/block-{name}"
             with fs.open_output_stream(f"{path}.attempt-{attempt}") as f:
-                for part_table in (own, pa.table({"number": coded.indices})):
+                for part_table in (own, pa.table([np.ascontiguousarray(planes[:, k]) for k in range(3)], ["0", "1", "2"])):
                     with pa.ipc.new_stream(f, part_table.schema,
                                            options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                         stream.write_table(part_table)
             fs.move(f"{path}.attempt-{attempt}", path)
-            found = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary])
+            # in the order of words, so that neighbours in the shuffle share their beginnings
+            order = pc.sort_indices(found).to_numpy()
+            found = pa.concat_arrays([pa.array([""], pa.string()), found.take(pa.array(order))])
+            places = (name << _NUMBER) + np.append(0, rank[order] + 1)
             for low in range(0, len(found), 50_000):
-                some = found.slice(low, 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), part // GROUP, np.int32)), pa.array(np.full(len(some), name)),
-                     pa.array(np.arange(low - 1, low - 1 + len(some), dtype=np.int32)), some],
-                    names=["grp", "block", "number", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(places[low:low + 50_000]), found.slice(low, 50_000)],
+                                                 names=["place", "word"])
             held.clear()
             n_blocks, n_words = n_blocks + 1, 0
 
@@ -174,7 +185,7 @@ def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.col("doc_id").cast(kind), F.regexp_extract_all(
         text_or_empty(), F.lit(java_pattern(pattern)), F.lit(0)).alias("words")).mapInArrow(
-        run, "grp int, block long, number int, word string")
+        run, "place long, word string")
 
 
 def read_block(out: str, name: int) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
@@ -182,17 +193,18 @@ def read_block(out: str, name: int) -> tuple[pa.ChunkedArray, np.ndarray, np.nda
     fs, root = _open(out)
     with fs.open_input_stream(f"{root}/block-{name}") as f:
         own, numbers = (pa.ipc.open_stream(f).read_all() for _ in range(2))
-    return own["doc_id"], own["words"].to_numpy(), numbers["number"].to_numpy()
+    planes = [numbers[k].to_numpy().astype(np.int32) for k in ("0", "1", "2")]
+    return own["doc_id"], own["words"].to_numpy(), planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def put_in_place(own: np.ndarray, numbers: np.ndarray, word_ids: np.ndarray, sizes: np.ndarray) -> tuple:
     """(ids of all documents, start of each document and the end): word number k has the ids
     ``word_ids[start_k:start_k + sizes[k]]``."""
-    starts = np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
     lengths = sizes[numbers]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(total)
+    ends = np.cumsum(lengths, dtype=np.int32)
+    at = np.repeat(starts[numbers] - (ends - lengths), lengths)
+    at += np.arange(len(at), dtype=np.int32)
     return word_ids[at], np.append(0, ends)[np.append(0, np.cumsum(own))]
 
 
@@ -205,21 +217,21 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str
     fs.create_dir(root, recursive=True)
     # dealt out by hand: folding is the work, and few bytes of words make much of it
     n = 2 * partitions(docs)
-    words = (_words(docs, out, pattern).repartition(n, "grp", "word").groupBy("grp", "word")
-             .agg(F.collect_list(F.struct("block", "number")).alias("places")))
+    group = F.shiftright("place", _NUMBER + _BLOCK + (GROUP - 1).bit_length())
+    words = (_words(docs, out, pattern).repartition(n, "word").groupBy("word", group.alias("grp"))
+             .agg(F.collect_list("place").alias("places")))
     ids = words.select("places", F.when(F.col("word") != "", bpe_ids(F.col("word"), rank_map(ranks))).alias("ids"))
-    back = ids.select(F.explode("places").alias("at"), "ids").select("at.block", "at.number", "ids")
+    back = ids.select(F.explode("places").alias("place"), "ids")
 
     def block(found: pa.Table) -> pa.Table:
-        name = found["block"][0].as_py()
-        found = found.filter(pc.greater_equal(found["number"], 0)).sort_by("number")
-        text = found["ids"].combine_chunks()
-        word_ids = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64) - _BASE
+        name = found["place"][0].as_py() >> _NUMBER
+        text = found.sort_by("place")["ids"].combine_chunks()[1:]
+        word_ids = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int32) - _BASE
         doc_ids, own, numbers = read_block(out, name)
         return rows(doc_ids, *put_in_place(own, numbers, word_ids,
-                                           pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)))
+                                           pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int32)))
 
-    return back.groupBy("block").applyInArrow(block, schema)
+    return back.groupBy(F.shiftright("place", _NUMBER).alias("block")).applyInArrow(block, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
