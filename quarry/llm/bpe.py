@@ -138,13 +138,13 @@ def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal n_blocks, n_words
-            words = pa.chunked_array([b.column(1).flatten() for b in held], pa.string()).combine_chunks()
-            coded = words.dictionary_encode() if len(words) else pa.array([], pa.string()).dictionary_encode()
-            numbers, found = coded.indices.to_numpy(), coded.dictionary
+            coded = pa.chunked_array([b.column(1).flatten() for b in held], pa.string()).dictionary_encode()
+            numbers = np.concatenate([np.empty(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
+            found = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
             if len(found) >= 1 << _NUMBER:
-                raise ValueError(f"a document of {len(words)} words has {len(found)} distinct ones")
+                raise ValueError(f"a document of {len(numbers)} words has {len(found)} distinct ones")
             # frequent words get small numbers: their high bytes, kept apart, compress to little
-            rank = np.empty(len(found), np.int64)
+            rank = np.empty(len(found), np.int32)
             rank[np.argsort(-np.bincount(numbers, minlength=len(found)), kind="stable")] = np.arange(len(found))
             planes = rank[numbers].astype("<u4").view(np.uint8).reshape(-1, 4) if len(numbers) else np.empty((0, 4), np.uint8)
             own = pa.table({"doc_id": pa.chunked_array([b.column(0) for b in held]),
@@ -160,12 +160,14 @@ def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
             # in the order of words, so that neighbours in the shuffle share their beginnings
             order = pc.sort_indices(found).to_numpy()
             found = pa.concat_arrays([pa.array([""], pa.string()), found.take(pa.array(order))])
-            places = (name << _NUMBER) + np.append(0, rank[order] + 1)
+            places = (name << _NUMBER) + np.append(0, rank[order].astype(np.int64) + 1)
             for low in range(0, len(found), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(places[low:low + 50_000]), found.slice(low, 50_000)],
                                                  names=["place", "word"])
             held.clear()
             n_blocks, n_words = n_blocks + 1, 0
+            del coded, numbers, planes, found, own
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             # a batch may hold many long texts: it is cut where a block is full

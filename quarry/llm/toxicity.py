@@ -39,7 +39,7 @@ FEATURES, MIN_DOCS, MIN_Z = 20_000, 8, 4.0
 PREFIXES, OFTEN = (4, 5, 6, 7), (1, 2, 4, 8)
 L2, SWAP, STEPS, RATE = 1e-3, 1.0, 300, 0.1
 SEED = 5
-#: Words whose features a worker remembers.
+#: Words whose features a task remembers.
 CACHE_WORDS = 500_000
 
 #: Group terms by kind; terms of one kind are swapped for each other.
@@ -230,10 +230,11 @@ def with_score(docs: DataFrame, score) -> DataFrame:
     names = [f"c_{k}" for k in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.score
+        own = shared.value
         for batch in batches:
-            scores = pa.array([own(t.as_py() or "") for t in batch.column(at)], pa.float64())
+            scores = pa.array([own.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, "score"])
+        own.known.clear()  # workers outlive the task, and with it the stage
 
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     return docs.toDF(*names).mapInArrow(run, f"{ddl}, score double")
