@@ -108,14 +108,14 @@ def votes(text: str) -> str:
 
 
 def expectation_maximisation(patterns: dict[str, int]) -> dict[str, float]:
-    """Posterior probability of good for every vote pattern.  Starts from the majority of votes."""
+    """Posterior probability of good for every vote pattern.  Most labellers see one kind of flaw and
+    vote good on all others, so the start takes two bad votes for a bad document, not a majority."""
     names = sorted(patterns)
     if not names:
         return {}
     count = np.array([patterns[p] for p in names], float)
     seen = np.array([["-gb".index(c) for c in p] for p in names])
-    good, bad = (seen == 1).sum(axis=1), (seen == 2).sum(axis=1)
-    post = (good + 1.0) / (good + bad + 2.0)
+    post = np.array([0.9, 0.5, 0.1])[np.minimum((seen == 2).sum(axis=1), 2)]
     for _ in range(EM_ROUNDS):
         odds = math.log((count @ post + 1) / (count @ (1 - post) + 1))
         total = np.full(len(names), odds)
