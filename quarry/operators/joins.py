@@ -50,7 +50,10 @@ def substring_fallback(left: DataFrame, id_col: str, name_col: str, right: DataF
     match get null values.  ``id_col`` identifies left rows.
     """
     lk = left.select(id_col, normalize_key(name_col).alias("_ln"))
-    rk = right.select(normalize_key(right_key).alias("_rn"), order_col, *value_cols)
+    # a repeated normalised key stands at its first place with its last values
+    rk = (right.select(normalize_key(right_key).alias("_rn"), order_col, F.struct(*value_cols).alias("_val"))
+          .groupBy("_rn").agg(F.max_by("_val", order_col).alias("_val"), F.min(order_col).alias(order_col))
+          .select("_rn", order_col, *[F.col(f"_val.{c}").alias(c) for c in value_cols]))
     # right key inside left name
     a = (lk.select(id_col, F.explode(_substrings(F.col("_ln"))).alias("_s")).distinct()
          .join(rk, F.col("_s") == F.col("_rn")))

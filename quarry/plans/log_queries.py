@@ -178,13 +178,13 @@ def g21_long_tail(spark, sf):
 
 @register("g22_volume_brackets", sql=_w("""
 , c AS (SELECT Crop, count(*) AS n FROM log GROUP BY Crop)
-SELECT CASE WHEN n >= 1000.0 THEN '1M+' WHEN n >= 500.0 THEN '500k-1M' WHEN n >= 100.0 THEN '100k-500k'
-            WHEN n >= 50.0 THEN '50k-100k' WHEN n >= 10.0 THEN '10k-50k' ELSE '<10k' END AS bracket,
+SELECT CASE WHEN n >= 1000000 THEN '1M+' WHEN n >= 500000 THEN '500k-1M' WHEN n >= 100000 THEN '100k-500k'
+            WHEN n >= 50000 THEN '50k-100k' WHEN n >= 10000 THEN '10k-50k' ELSE '<10k' END AS bracket,
        count(*) AS n_crops FROM c GROUP BY 1"""))
 def g22_volume_brackets(spark, sf):
-    """Crops per volume bracket (bounds scaled by 1/1000 for the small tables)."""
+    """Crops per volume bracket."""
     sizes = agg.group_sizes(call_log(spark, sf, ["Crop"]), "Crop")
-    return agg.volume_brackets(sizes, "n_queries", scale=0.001)
+    return agg.volume_brackets(sizes, "n_queries")
 
 
 @register("g23_median_type_size", sql="""SELECT CAST(median(size) AS DOUBLE) AS median_size
