@@ -35,6 +35,8 @@ SAMPLE_PER_LIST, SAMPLE = 64, 100_000
 MAX_LISTS, ROUNDS = 2048, 6
 PROBE = 0.75
 COLUMNS, EPSILON, SLACK = 16, 2.1, 1e-9
+#: Queries whose first partial distances are held at once.
+TOGETHER = 256
 SEED = 11
 _SCHEMA = "query_id long, _copy long, vec_id long, score double"
 
@@ -63,42 +65,63 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(points: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Places of the rotated points that the tests leave: first k by whole distances, then the
-    others in column blocks against the k-th distance so far."""
+def scan(points: np.ndarray, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Per query the places of the rotated points that the tests leave: first k by whole distances,
+    then the others in column blocks against the k-th distance so far.  Of the first block, partial
+    distances are one matrix product for all queries."""
     d, first = points.shape[1], min(len(points), max(64, k))
-    whole = ((points[:first] - query) ** 2).sum(axis=1)
     if first == len(points):
-        return np.arange(first)
-    kth = np.partition(whole, k - 1)[k - 1]
-    left, partial = np.arange(first, len(points)), 0.0
-    for low in range(0, d, COLUMNS):
-        high = min(low + COLUMNS, d)
-        partial = partial + ((points[left, low:high] - query[low:high]) ** 2).sum(axis=1)
-        limit = kth * (1 + EPSILON / np.sqrt(high)) ** 2 if high < d else kth
-        stays = partial * d / high <= limit + SLACK
-        left, partial = left[stays], partial[stays]
-    return np.concatenate([np.flatnonzero(whole <= kth + SLACK), left])
+        yield from (np.arange(first) for _ in queries)
+        return
+    head = min(COLUMNS, d)
+    whole = _sq_distances(queries, points[:first])
+    kth = np.partition(whole, k - 1, axis=1)[:, k - 1]
+    begun = _sq_distances(queries[:, :head], points[first:, :head])
+    stays = begun * (d / head) <= (_limit(kth, head, d) + SLACK)[:, None]
+    for j, query in enumerate(queries):
+        left = np.flatnonzero(stays[j])
+        partial = begun[j, left]
+        left += first
+        for low in range(head, d, COLUMNS):
+            high = min(low + COLUMNS, d)
+            partial = partial + ((points[left, low:high] - query[low:high]) ** 2).sum(axis=1)
+            near = partial * (d / high) <= _limit(kth[j], high, d) + SLACK
+            left, partial = left[near], partial[near]
+        yield np.concatenate([np.flatnonzero(whole[j] <= kth[j] + SLACK), left])
+
+
+def _sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)
+
+
+def _limit(kth, columns: int, d: int):
+    """What a distance carried on from the first columns may be at most."""
+    return kth * (1 + EPSILON / np.sqrt(columns)) ** 2 if columns < d else kth
 
 
 def _searcher(k: int):
     def run(piece: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(piece) and len(queries):
-            points, asked = _unit(matrix(piece["embedding"])), _unit(matrix(queries["embedding"]))
-            turn = rotation(points.shape[1])
-            turned, turned_asked = points @ turn, asked @ turn
-            ids = piece["vec_id"].astype("Int64")
-            known, order = ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64), None
-            for j, (own, copy) in enumerate(zip(queries["vec_id"], queries["_copy"], strict=True)):
-                # one more, as the query itself may be among them
-                left = scan(turned, turned_asked[j], min(k + 1, len(points)))
-                left = left[known[left] != own]
-                scores = (points[left] * asked[j]).sum(axis=1)
-                order = np.lexsort((known[left], -scores))[:k]
-                out.append(pd.DataFrame({"query_id": own, "_copy": copy, "vec_id": ids.iloc[left[order]].array,
-                                         "score": scores[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "_copy": [], "vec_id": [], "score": []})
+        if not len(piece) or not len(queries):
+            return pd.DataFrame({"query_id": [], "_copy": [], "vec_id": [], "score": []})
+        points, asked = _unit(matrix(piece["embedding"])), _unit(matrix(queries["embedding"]))
+        turn = rotation(points.shape[1])
+        turned, turned_asked = points @ turn, asked @ turn
+        ids = piece["vec_id"].astype("Int64")
+        known = ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+        names, at, places, scores = queries["vec_id"].to_numpy(np.int64), [], [], []
+        for low in range(0, len(asked), TOGETHER):
+            # one more, as the query itself may be among them
+            found = scan(turned, turned_asked[low:low + TOGETHER], min(k + 1, len(points)))
+            for j, left in enumerate(found, low):
+                left = left[known[left] != names[j]]
+                score = (points[left] * asked[j]).sum(axis=1)
+                order = np.lexsort((known[left], -score))[:k]
+                at.append(np.full(len(order), j))
+                places.append(left[order])
+                scores.append(score[order])
+        own, place = np.concatenate(at), np.concatenate(places)
+        return pd.DataFrame({"query_id": names[own], "_copy": queries["_copy"].to_numpy()[own],
+                             "vec_id": ids.iloc[place].array, "score": np.concatenate(scores)})
 
     return run
 
