@@ -87,6 +87,15 @@ def map_to_buckets(df: DataFrame, type_col: str, mapping: DataFrame,
     return out.drop("_t")
 
 
+def decode_types(df: DataFrame, type_col: str, codes: DataFrame) -> DataFrame:
+    """Type codes become their names (``codes``: code, name; a short dimension), so that
+    calls logged by code and by name count together; other values stay, nulls too."""
+    c = codes.select(py_strip(F.col(codes.columns[0])).alias("_code"),
+                     F.col(codes.columns[1]).alias("_name")).dropDuplicates(["_code"])
+    return (df.withColumn("_code", py_strip(F.col(type_col))).join(F.broadcast(c), "_code", "left")
+            .withColumn(type_col, F.coalesce("_name", type_col)).drop("_code", "_name"))
+
+
 def bucket_totals(df: DataFrame, type_col: str, mapping: DataFrame,
                   default: str = "Unclassified") -> DataFrame:
     """Calls per bucket and share of ALL rows (null types included)."""

@@ -125,3 +125,18 @@ def clusters_to_threshold(matrix: DataFrame, threshold: float = 85.0, crop_col:
         experiments = sorted(r[0] for r in matrix.select(exp_col).distinct().collect())
     pairs = full_grid(matrix, crop_col, experiments, exp_col)
     return pairs.join(reach, [crop_col, exp_col], "left")
+
+
+def reached_only(reach: DataFrame, count_col: str = "clusters_to_85") -> DataFrame:
+    """P5: pairs that never reach the threshold go, the rest is counted in int."""
+    return reach.dropna(subset=[count_col]).withColumn(count_col, F.col(count_col).cast("int"))
+
+
+def question_list(mapping: DataFrame, group_cols: Sequence[str] = ("Experiment", "crop")) -> DataFrame:
+    """K3: every non-noise text with the re-ranked number of its cluster (W3's ranking)."""
+    group_cols = list(group_cols)
+    clean = mapping.where(F.col("cluster_id") != -1)
+    vols = clean.groupBy(*group_cols, "cluster_id").agg(F.sum("count").cast("bigint").alias("vol"))
+    ranked = prefix_rank(vols, "vol", ["cluster_id"], group_cols).select(*group_cols, "cluster_id", "rank")
+    return clean.join(ranked, [*group_cols, "cluster_id"]).select(
+        *group_cols, F.col("rank").alias("cluster_id"), F.col("query_text").alias("full_querytext"))

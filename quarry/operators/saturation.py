@@ -65,9 +65,9 @@ def prefix_rank(df: DataFrame, size_col: str, tie_cols: Sequence[str],
               .join(offsets if group_cols else F.broadcast(offsets), [*group_cols, "_pid"]))
     return ranked.select(*group_cols, *tie_cols, size_col,
                          (F.col("_rank_off") + F.col("_lr")).cast("bigint").alias("rank"),
-                         (F.col("_cum_off") + F.col("_lc")).cast("bigint").alias("cum_size"),
-                         F.col("n_types").cast("bigint").alias("n_types"),
-                         F.col("total").cast("bigint").alias("total"))
+                         # sums keep their type: whole sizes give long, fractional ones double
+                         (F.col("_cum_off") + F.col("_lc")).alias("cum_size"),
+                         F.col("n_types").cast("bigint").alias("n_types"), "total")
 
 
 def coverage_curve(sizes: DataFrame, size_col: str, tie_cols: Sequence[str],

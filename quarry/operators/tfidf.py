@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import stored
+
 
 def _shifted_concat(items: Column, n: int, sep: str) -> Column:
     """All windows of ``n`` consecutive items joined by ``sep``.
@@ -61,10 +63,10 @@ def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence
     ``docs`` holds one row per document with an array column of terms.
     """
     g = list(group_cols)
-    # one pass over the texts: explode_outer keeps documents without any term
-    # (null term) so the document count comes from the same aggregate
+    # one pass over the texts, whose term counts are stored for the three readers below:
+    # explode_outer keeps documents without any term (null term) for the document count
     exploded = docs.select(*g, id_col, F.explode_outer(terms_col).alias("term"))
-    tf_all = exploded.groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf_all = stored(exploded.groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     n_docs = tf_all.groupBy(*g).agg(F.countDistinct(id_col).alias("n_docs"))
     tf = tf_all.where(F.col("term").isNotNull())
     stats = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
@@ -92,13 +94,19 @@ def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence
     return vocab, weights
 
 
-def top_terms(weights: DataFrame, id_cols: Sequence[str], k: int = 5) -> DataFrame:
-    """M4: the ``k`` highest-weighted terms per document (ties by term) as an array;
-    documents without any vocabulary term are absent (join back for empty arrays)."""
+def top_terms(weights: DataFrame, id_cols: Sequence[str], k: int = 5,
+              docs: DataFrame | None = None) -> DataFrame:
+    """M4: the ``k`` highest-weighted terms per document (ties by term) as an array.
+    With ``docs``, each of its rows gets one, empty without any vocabulary term; else
+    such documents are absent."""
     w = Window.partitionBy(*id_cols).orderBy(F.desc("weight"), F.asc("term"))
     top = weights.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return top.groupBy(*id_cols).agg(
+    found = top.groupBy(*id_cols).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda s: s["term"]).alias("keywords"))
+    if docs is None:
+        return found
+    return docs.select(*id_cols).join(found, list(id_cols), "left").withColumn(
+        "keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
 def length_zscore(df: DataFrame, count_col: str, group_cols: Sequence[str] = ()) -> DataFrame:

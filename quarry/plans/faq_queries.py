@@ -167,6 +167,41 @@ def w5_clusters_to_85(spark, sf):
     return faq.clusters_to_threshold(faq.cluster_matrix(_runs(spark, sf)), 85.0)
 
 
+@register("p5_reached_clusters", sql=f"""WITH {_RUNS_SQL},
+reach AS (SELECT crop, Experiment, min(cluster_id) AS clusters_to_85 FROM matrix WHERE cumulative_pct >= 85.0 GROUP BY ALL)
+SELECT crop, Experiment, CAST(clusters_to_85 AS INTEGER) AS clusters_to_85 FROM reach""")
+def p5_reached_clusters(spark, sf):
+    """P5: the grid of W5 with a run that never took place; pairs that never reach 85 % go."""
+    matrix = faq.cluster_matrix(_runs(spark, sf))
+    return faq.reached_only(faq.clusters_to_threshold(
+        matrix, 85.0, experiments=["by_length", "by_source", "not_run"]))
+
+
+@register("k3_question_lists", sql=f"""WITH {_RUNS_SQL}
+SELECT r.Experiment, r.crop, rk.rank AS cluster_id, r.query_text AS full_querytext
+FROM runs r JOIN rk USING (Experiment, crop, cluster_id)""")
+def k3_question_lists(spark, sf):
+    """K3: the per-crop question lists of every run, each text with its re-ranked cluster."""
+    return faq.question_list(_runs(spark, sf))
+
+
+@register("k2_crop_faq_documents", sql=f"""WITH {_THEMES_SQL},
+docs_of AS (SELECT crop, list({{'question': question, 'count': count, 'percentage': {np_round_sql('percentage', 2)}}}
+                              ORDER BY theme_rank) AS faqs FROM th WHERE theme_rank <= 50 GROUP BY crop)
+SELECT t.crop, to_json({{'name': t.crop,
+    'filename': replace(replace(regexp_replace(t.crop, '[()]', '', 'g'), '/', '_'), ' ', '_'),
+    'queries': CAST(t.crop_total AS BIGINT), 'faqs': coalesce(d.faqs, [])}})::VARCHAR AS value
+FROM tot t LEFT JOIN docs_of d USING (crop)""")
+def k2_crop_faq_documents(spark, sf):
+    """K2 + G18: the dashboard's document of every crop: name, file name, calls and its 50 largest themes."""
+    from quarry.sources.sinks import crop_documents
+    m = mapping(spark, sf)
+    totals = faq.crop_report(m).select("crop", "total_queries")
+    themes = faq.faq_themes(faq.cluster_summary(m, with_keywords=False), k=50,
+                            crop_totals=totals.withColumnRenamed("total_queries", "crop_total"))
+    return crop_documents(themes, totals)
+
+
 @register("o1_sorted_mapping", sql=f"WITH {_mapping_sql()}\nSELECT query_text, cluster_id, count FROM mapping ORDER BY cluster_id, count DESC, query_text")
 def o1_sorted_mapping(spark, sf):
     """O1: mapping sorted by cluster asc, count desc (range-partitioned sort)."""

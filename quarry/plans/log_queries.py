@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.operators import aggregates as agg
 from quarry.operators import filters as flt
+from quarry.operators import saturation as sat
 from quarry.plans.registry import register
-from quarry.plans.standins import LOG_SQL, call_log, np_round_sql, pct_sql
+from quarry.plans.saturation_queries import ranked_sql
+from quarry.plans.standins import LOG_SQL, PART_SIZES_SQL, call_log, np_round_sql, part_sizes, pct_sql
 from quarry.sources.tables import table
 
 # --- fixed values of the stand-in (question type -> bucket dimension) -----------
@@ -27,6 +29,14 @@ def _mapping(spark):
     return spark.createDataFrame(list(BUCKET_MAP), "QueryType string, Bucket string")
 
 
+# calls of the fifth priority have no type: null in the queries on unknown types
+_TYPED_SQL = ", typed AS (SELECT * REPLACE (nullif(QueryType, '4-NOT SPECIFIED') AS QueryType) FROM log)"
+
+
+def _typed(log):
+    return log.withColumn("QueryType", F.nullif("QueryType", F.lit("4-NOT SPECIFIED")))
+
+
 def _w(sql: str) -> str:
     return f"WITH {LOG_SQL}\n{sql}"
 
@@ -49,20 +59,22 @@ def g6_unique_crops(spark, sf):
     return call_log(spark, sf, ["Crop"]).select("Crop").distinct()
 
 
-@register("g7a_type_share", sql=_w(f"""SELECT QueryType, count(*) AS n_queries,
-  {np_round_sql(pct_sql('count(*)', '(SELECT count(QueryType) FROM log)'), 2)} AS pct
-FROM log WHERE QueryType IS NOT NULL GROUP BY QueryType"""))
+@register("g7a_type_share", sql=_w(f"""{_TYPED_SQL}
+SELECT QueryType, count(*) AS n_queries,
+  {np_round_sql(pct_sql('count(*)', '(SELECT count(QueryType) FROM typed)'), 2)} AS pct
+FROM typed WHERE QueryType IS NOT NULL GROUP BY QueryType"""))
 def g7a_type_share(spark, sf):
     """Share over the rows with a known type."""
-    return agg.value_shares(call_log(spark, sf, ["QueryType"]), "QueryType")
+    return agg.value_shares(_typed(call_log(spark, sf, ["QueryType"])), "QueryType")
 
 
-@register("g7b_type_share_all_rows", sql=_w(f"""SELECT QueryType, count(*) AS n_queries,
-  {np_round_sql(pct_sql('count(*)', '(SELECT count(*) FROM log)'), 2)} AS pct
-FROM log WHERE QueryType IS NOT NULL GROUP BY QueryType"""))
+@register("g7b_type_share_all_rows", sql=_w(f"""{_TYPED_SQL}
+SELECT QueryType, count(*) AS n_queries,
+  {np_round_sql(pct_sql('count(*)', '(SELECT count(*) FROM typed)'), 2)} AS pct
+FROM typed WHERE QueryType IS NOT NULL GROUP BY QueryType"""))
 def g7b_type_share_all_rows(spark, sf):
     """Share over all rows, unknown types included in the denominator."""
-    return agg.value_shares(call_log(spark, sf, ["QueryType"]), "QueryType", denominator="all")
+    return agg.value_shares(_typed(call_log(spark, sf, ["QueryType"])), "QueryType", denominator="all")
 
 
 @register("g7_top_crops", sql=_w(f"""SELECT Crop, count(*) AS n_queries,
@@ -202,6 +214,37 @@ def g24_headline(spark, sf):
     return agg.headline(call_log(spark, sf, ["Crop", "QueryType"]), "Crop", "QueryType")
 
 
+# fixed values of the stand-in: calls of even orders are logged by code
+TYPE_CODES = (("1", "1-URGENT"), ("2", "2-HIGH"), ("3", "3-MEDIUM"), ("5", "5-LOW"))
+
+
+@register("j7_decoded_types", sql=_w(f"""
+, codes(code, name) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in TYPE_CODES)})
+, logged AS (SELECT CASE WHEN call_order % 2 = 0 THEN substr(QueryType, 1, 1) ELSE QueryType END AS t FROM log)
+SELECT coalesce(c.name, l.t) AS QueryType, count(*) AS n_queries,
+  {np_round_sql(pct_sql('count(*)', '(SELECT count(t) FROM logged)'), 2)} AS pct
+FROM logged l LEFT JOIN codes c ON l.t = c.code WHERE l.t IS NOT NULL GROUP BY 1"""))
+def j7_decoded_types(spark, sf):
+    """Types logged by code count with the same types logged by name."""
+    log = call_log(spark, sf, ["call_order", "QueryType"])
+    logged = log.withColumn("QueryType", F.when(F.col("call_order") % 2 == 0, F.substring("QueryType", 1, 1))
+                            .otherwise(F.col("QueryType")))
+    codes = spark.createDataFrame(list(TYPE_CODES), "code string, name string")
+    return agg.value_shares(agg.decode_types(logged, "QueryType", codes), "QueryType")
+
+
+@register("g24_dashboard_headline", sql=_w(f"""
+, {PART_SIZES_SQL}, {ranked_sql('sizes', 'l_partkey')}
+SELECT (SELECT count(*) FROM log) AS total_queries, (SELECT count(DISTINCT Crop) FROM log) AS total_crops,
+  (SELECT max(n_types) FROM pts) AS total_question_types,
+  {np_round_sql('(SELECT y FROM pts ORDER BY abs(x - 10.0), rank LIMIT 1)', 2)} AS coverage_at_10pct"""))
+def g24_dashboard_headline(spark, sf):
+    """Calls, crops, question types (clusters) and coverage at 10 % of the types."""
+    meta = sat.saturation_metadata(sat.coverage_curve(part_sizes(spark, sf), "size", ["l_partkey"]))
+    crops = call_log(spark, sf, ["Crop"]).agg(F.countDistinct("Crop"))
+    return meta.select("total_queries", crops.scalar().alias("total_crops"), "total_question_types", "coverage_at_10pct")
+
+
 @register("g25_urgent_top_crops", sql=_w("""SELECT Crop, count(*) AS n_queries FROM log
 WHERE QueryType = '1-URGENT' GROUP BY Crop ORDER BY n_queries DESC, Crop LIMIT 20"""))
 def g25_urgent_top_crops(spark, sf):
@@ -210,11 +253,12 @@ def g25_urgent_top_crops(spark, sf):
     return agg.top_n(agg.group_sizes(sub, "Crop"), [F.desc("n_queries"), F.asc("Crop")], 20)
 
 
-@register("f2_exclude_types", sql=_w("""SELECT QueryType, count(*) AS n_queries FROM log
+@register("f2_exclude_types", sql=_w(f"""{_TYPED_SQL}
+SELECT QueryType, count(*) AS n_queries FROM typed
 WHERE coalesce(QueryType NOT IN ('1-URGENT', '5-LOW'), true) GROUP BY QueryType"""))
 def f2_exclude_types(spark, sf):
     """null-keeping NOT IN on the question type."""
-    log = flt.exclude_values(call_log(spark, sf, ["QueryType"]), "QueryType", EXCLUDED_TYPES)
+    log = flt.exclude_values(_typed(call_log(spark, sf, ["QueryType"])), "QueryType", EXCLUDED_TYPES)
     return agg.group_sizes(log, "QueryType", drop_null_keys=False)
 
 

@@ -139,7 +139,7 @@ def _word_sizes_sql():
     from quarry.functions.text import STOP_WORDS
     return f"""wsizes AS (
   SELECT word, count(*) AS size FROM (
-    SELECT unnest({clean_tokens_sql('text', STOP_WORDS)}) AS word FROM documents WHERE lang = 'en')
+    SELECT unnest({clean_tokens_sql('text', STOP_WORDS)}) AS word FROM documents)
   GROUP BY word)"""
 
 
@@ -147,8 +147,8 @@ def _word_sizes_sql():
 {ranked_sql('wsizes', 'word')},
 {curve_sql()}""")
 def saturation_words(spark, sf):
-    """A steep curve: question type = cleaned word of the English documents."""
-    docs = table(spark, sf, "documents").where(F.col("lang") == "en")
+    """A steep curve: question type = cleaned word of the documents."""
+    docs = table(spark, sf, "documents")
     words = docs.select(F.explode(clean_tokens("text")).alias("word"))
     sizes = words.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
     return sat.saturation_curve(sat.coverage_curve(sizes, "size", ["word"]))

@@ -113,12 +113,12 @@ _CHARS = ("list_concat(" + ", ".join(
 
 @register("m3_char_vocabulary", sql=f"""WITH q AS (
   SELECT conv_id * 1000 + turn AS qid, regexp_replace(lower(coalesce(text, '')), '\\s\\s+', ' ', 'g') AS ct
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 {_tfidf_sql(_CHARS, group='', max_df='0.95', min_df='5', src='q', id_col='qid')}
 SELECT term, df, {np_round_sql('idf', 6)} AS idf, feature_index FROM vocab""")
 def m3_char_vocabulary(spark, sf):
-    """M3: character 2-5-gram vocabulary of the user questions (min_df=5)."""
-    q = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+    """M3: character 2-5-gram vocabulary of all conversation turns (min_df=5)."""
+    q = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
         tfidf.char_terms(F.col("text"), (2, 5)).alias("terms"))
     vocab, _ = tfidf.fit_tfidf(q, "qid", "terms", [], 1000, 0.95, 5)
@@ -127,11 +127,12 @@ def m3_char_vocabulary(spark, sf):
 
 @register("m4_top_keywords", sql=f"""WITH {_DOCS_SQL}, {_tfidf_sql(_WORDS)},
 r AS (SELECT lang, doc_id, term, row_number() OVER (PARTITION BY lang, doc_id ORDER BY w DESC, term) AS rn FROM wt)
-SELECT lang, doc_id, string_agg(term, ', ' ORDER BY rn) AS top_keywords FROM r WHERE rn <= 5 GROUP BY ALL""")
+SELECT d0.lang, d0.doc_id, coalesce(string_agg(term, ', ' ORDER BY rn) FILTER (rn <= 5), '') AS top_keywords
+FROM d0 LEFT JOIN r ON d0.doc_id = r.doc_id AND d0.lang IS NOT DISTINCT FROM r.lang GROUP BY ALL""")
 def m4_top_keywords(spark, sf):
-    """M4: five highest TF-IDF terms per document (ties by term)."""
+    """M4: five highest TF-IDF terms of every document (ties by term); none for a text without terms."""
     _, w = _word_tfidf(spark, sf)
-    top = tfidf.top_terms(w, ["lang", "doc_id"], 5)
+    top = tfidf.top_terms(w, ["lang", "doc_id"], 5, table(spark, sf, "documents"))
     return top.select("lang", "doc_id", F.array_join("keywords", ", ").alias("top_keywords"))
 
 

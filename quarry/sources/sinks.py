@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.numeric import np_round
 from quarry.functions.text import file_slug, sheet_label, thousands
 
 
@@ -36,21 +37,41 @@ def write_saturation_json(curve: DataFrame, metadata: DataFrame, path: str) -> N
     saturation_document(curve, metadata).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _spread(df: DataFrame, label: str) -> DataFrame:
+    """Ranges over (label, row hash): a task writes few groups, a hot group is cut over many tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, label, F.xxhash64(*df.columns)).sortWithinPartitions(label)
+
+
 def write_partitioned(df: DataFrame, path: str, group_col: str = "crop", mode: str = "overwrite") -> None:
     """K3/K4: one directory per group (label = first 31 characters, '/' and '\\'
     replaced); empty groups produce no directory."""
-    (df.withColumn("_label", sheet_label(group_col)).repartition("_label")
+    (_spread(df.withColumn("_label", sheet_label(group_col)), "_label")
        .write.mode(mode).partitionBy("_label").parquet(path))
 
 
 def faq_files(themes: DataFrame, path: str, crop_col: str = "crop") -> None:
     """K4: per-crop FAQ tables as CSV partitions keyed by the file slug."""
-    (themes.withColumn("file", file_slug(crop_col)).repartition("file")
+    (_spread(themes.withColumn("file", file_slug(crop_col)), "file")
        .write.mode("overwrite").option("header", True).option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .partitionBy("file").csv(path))
 
 
+def crop_documents(themes: DataFrame, totals: DataFrame, crop_col: str = "crop") -> DataFrame:
+    """K2 + G18: one row per crop with its FAQ document ``{"name", "filename", "queries",
+    "faqs": [{question, count, percentage}, ...]}``, themes in rank order.  ``totals``:
+    (crop, total_queries); a crop without themes has an empty list."""
+    faqs = themes.groupBy(crop_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "theme_rank", "question", "count", np_round("percentage", 2).alias("percentage")))),
+        lambda t: F.struct(t["question"].alias("question"), t["count"].alias("count"),
+                           t["percentage"].alias("percentage"))).alias("faqs"))
+    kind = faqs.schema["faqs"].dataType.simpleString()
+    return totals.join(faqs, crop_col, "left").select(crop_col, F.to_json(F.struct(
+        F.col(crop_col).alias("name"), file_slug(crop_col).alias("filename"), F.col("total_queries").alias("queries"),
+        F.coalesce("faqs", F.array().cast(kind)).alias("faqs"))).alias("value"))
+
+
 def bucket_report_lines(by_year: DataFrame) -> DataFrame:
     """K5: per-year report text: a header, one line per bucket (thousands
     separators, share with two decimals) and a 'Total Processed' line.

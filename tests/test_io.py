@@ -104,7 +104,7 @@ def test_csv_dirty_values(spark, scratch):
     schema = "query_text string, QueryType string, Crop string, count bigint"
     df = spark.createDataFrame(rows, schema)
     sinks.write_csv(df.coalesce(1), f"{scratch}/dirty")
-    back = files.read_csv(spark, f"{scratch}/dirty", schema)
+    back = files.read_csv(spark, f"{scratch}/dirty", schema, multi_line=True)
     got = sorted((tuple(r) for r in back.collect()), key=repr)
     # CSV cannot tell '' from null: both come back as null, as with pandas read_csv
     want = sorted([(rows[0]), (None, "Weather", "Paddy (Dhan)", 1), rows[2]], key=repr)
