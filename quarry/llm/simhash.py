@@ -176,7 +176,10 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
 
 def _members(rows: DataFrame) -> DataFrame:
     """``rows`` of :func:`fingerprints` with the root fingerprint of their component."""
-    found = components(links(emitted(rows.select("fp").distinct())))
+    # dealt out by hand: a fingerprint is 8 bytes, its variants are 196 rows (another number than
+    # the shuffle's, which Spark would take for the same and merge into few partitions)
+    fps = rows.select("fp").distinct().repartition(2 * partitions(rows), "fp")
+    found = components(links(emitted(fps)))
     return rows.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
