@@ -239,6 +239,25 @@ def test_html_main_text(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content-sidebar-wrap'><main><p>Text</p></main><aside>s</aside></div>", ["Text"]),
+    ("<div class='sidebar'><article>Only</article></div><div class='sidebar'>s</div>", ["Only"]),
+    ("<form id='aspnetForm'><nav>n</nav><article><h1>T</h1><form>f</form></article></form>", ["T"]),
+    ("<form id='aspnetForm'><header>h</header><div>The text of the page</div></form><form>f</form>", ["The text of the page"]),
+    ("<div class='has-sidebar'><div class='sidebar-left'>s</div><p>The text of the page</p></div>", ["The text of the page"]),
+    ("<html><head><title>t</title><body><p>Text</p>", ["Text"]), ("<html><head><title>t</title>Text", ["Text"]),
+    ("<article><h2 id='related-work'>Related</h2><section id='search-results'><p>Found</p></section>"
+     "<p>E <math><mi>m</mi></math></p><div class='related'>r</div><div class='share-buttons'>s</div></article>",
+     ["Related", "Found", "E m"]),
+    ("<article class='post comments-open'>A<article class='comment-body'>c</article></article>", ["A"]),
+    ("<article>A</article><aside><article>teaser</article></aside><div class='related-posts'><article>t</article></div>", ["A"]),
+    ("<main><p>A</p><section class='comments'><article>c</article></section></main>", ["A"]),
+    ("<template><article>{{t}}</article></template><main hidden>h</main><p>Text</p>", ["Text"])])
+def test_html_elements_around_the_text_stay(page, want):
+    blocks, _, article = html_text.parse(page)
+    assert [text for text, _, inside, menu in blocks if (inside if article else not menu)] == want
+
+
 def test_html_templates_go_and_repeated_article_text_stays(spark):
     def bare(k):
         return f"<body><div>Shop of things since 1990</div><div>Own text number {k} of this page</div>"
