@@ -3,8 +3,9 @@
 One pass reads each whole page into its elements, drops those that their markup names as boilerplate
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), cuts the
 rest into text blocks, and hashes the page's element subtrees.  Spark counts the hashes per host, each once a
-page; a subtree that recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of its host's pages is
-site template, and the text under it is deleted from all pages of the host.
+page; a subtree that recurs on at least ``MIN_PAGES`` pages is site template, whatever the size of its
+host, and the text under it is deleted from all pages of the host.  From 100 to 200 pages of a host the bar
+grows to ``MOST_PAGES``, so that a few copies of a page among many do not delete it.
 
 Text of an article (``article``, ``main``, or an element marked as the article's body) is the
 author's even where it recurs: there only containers (lists, sections, tables, divisions) count as
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table, written
 
-MIN_PAGES, MIN_SHARE = 5, 0.05
+#: Pages on which a subtree is template: 5 % of its host's, between these bounds.
+MIN_PAGES, MOST_PAGES = 5, 10
 #: Links' share of a list's or division's text beyond which it is a menu, on pages without article.
 LINK_SHARE = 0.6
 
@@ -359,7 +361,8 @@ def templates(rows: DataFrame) -> DataFrame:
     pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(
         F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    return counts.join(pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
+    return counts.join(pages, "host").where(F.col("n") >= F.least(0.05 * F.col("pages"), F.lit(MOST_PAGES))).select(
+        "host", "hash")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -274,6 +274,15 @@ def test_html_templates_go_and_repeated_article_text_stays(spark):
     assert got[200].startswith("Shop of things")
 
 
+@pytest.mark.parametrize("n, repeated", [(100, 5), (1000, 10), (4000, 40)])
+def test_html_template_on_few_pages_of_a_host_goes(spark, n, repeated):
+    rows = [(k, f"http://a.example/{k}", f"<body><div>Own text number {k} of this page</div>"
+             + "<div>Published by the weekend desk</div>" * (k < repeated)) for k in range(n)]
+    got = {r.page_id: r.text for r in html_text.main_texts(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Own text number {k} of this page" for k in range(n)}
+
+
 def test_weak_labels_find_planted_quality(spark, docs, none):
     rng = random.Random(2)
     good = [(k, " ".join(rng.choice(["the", "of", "and", "house", "river", "green", f"n{rng.randrange(400)}"])
