@@ -21,12 +21,14 @@ ids are ordered by a hash of their text; extra columns are ignored; an empty tab
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +36,22 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import partitions, text_or_empty
 
-#: Words kept with their ids by a worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 800_000, 40
+#: Words kept with their ids by a worker, and the longest word kept; text encoded at once.
+CACHE_WORDS, CACHE_CHARS, SLICE_BYTES = 800_000, 40, 8_000_000
 #: A row of a .doc file.
 _DOC = np.dtype([("id", "<i8"), ("null", "u1")])
-#: Separators to Python's str.split() that are not white space to the tokenizer's pattern.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Texts encoded whole: separators to Arrow's splitting that are not white space to the tokenizer's
+#: pattern, marks that compose with a letter differently once it is lower-cased, and what may be a
+#: special string.
+_WHOLE = r"[\x1c-\x1f\x{300}-\x{36F}]|<\|"
+#: The tokenizer's pattern ends a run of letters here, and no normal form spans it.
+_LETTERS_END = r"([a-z\x{E0}-\x{F6}\x{F8}-\x{FF}])([!-@\[-`{-~])"
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pattern never spans white space: a text's ids are
-    those of its white-space-separated words, so each distinct word is encoded once."""
+    """Encodes texts with a tokenizer that lower-cases and whose pattern never spans white space or
+    the end of a run of letters: a text's ids are those of its parts, so each distinct part is
+    encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,24 +60,43 @@ class WordEncoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _NOT_SPACE):
-            return self._encode([text])[0]
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
+    def _codes(self, words: list[str]) -> list[bytes]:
+        """Each distinct word's ids; those not seen before are encoded in one call."""
+        known = self.words
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for w in words if w not in known})
-        found = dict(zip(new, self._encode(new), strict=True))
+        new = [w for w in words if w not in known]
+        found = {w: np.array(e.ids, self.dtype).tobytes() for w, e in
+                 zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        codes = [found[w] if w in found else known[w] for w in words]
         known.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
-        return b"".join([found[w] if w in found else known[w] for w in words])
+        return codes
+
+    def _parts(self, texts: pa.Array) -> pa.Array:
+        return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _LETTERS_END, r"\1 \2"))
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with end_id at its end; ids per text)."""
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        if pc.any(whole).as_py():
+            lists = [[t] if one else None for t, one in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
+            rest = iter(self._parts(texts.filter(pc.invert(whole))).to_pylist())
+            words = pa.array([next(rest) if own is None else own for own in lists], pa.list_(pa.string()))
+        else:
+            words = self._parts(texts)
+        coded = words.flatten().dictionary_encode()
+        codes = [*self._codes(coded.dictionary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        ids = np.frombuffer(b"".join(codes), self.dtype)
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // ids.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # the end id is one more word of each text
+        own = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(own), len(codes) - 1)
+        lengths = sizes[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts[numbers] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return ids[at], np.diff(np.append(0, ends)[np.append(0, np.cumsum(own + 1))])
 
 
 @lru_cache(maxsize=2)
@@ -100,9 +126,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1,
     fs.create_dir(root, recursive=True)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(tokenizer)
-        end = np.array([end_id], encode_text.dtype).tobytes()
-        width = len(end)
+        encode_texts = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         fs, root = _open(out)
         stem = f"{root}/part-{part:05d}"
@@ -115,14 +139,16 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1,
                 rows["id"] = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
                 rows["null"] = doc_ids.is_null().to_numpy(zero_copy_only=False)
                 names.write(rows.tobytes())
-                sizes = np.empty(batch.num_rows, "<u8")
-                for k, text in enumerate(texts):
-                    code = encode_text(text.as_py()) + end
-                    ids.write(code)
-                    sizes[k] = len(code) // width
-                lengths.write(sizes.tobytes())
+                ends, low = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+                while low < batch.num_rows:
+                    before = ends[low - 1] if low else 0
+                    high = max(low + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+                    codes, sizes = encode_texts(texts.slice(low, high - low), end_id)
+                    ids.write(codes.tobytes())
+                    lengths.write(sizes.astype("<u8").tobytes())
+                    n_tokens += len(codes)
+                    low = high
                 n_docs += batch.num_rows
-                n_tokens += int(sizes.sum())
         for kind in ("bin", "doc", "len"):
             _publish(fs, _own(f"{stem}.{kind}"), f"{stem}.{kind}")
         if n_docs:
