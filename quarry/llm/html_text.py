@@ -22,8 +22,8 @@ nothing: headings and sections are named after their own words there.
 The page rows are written once and only pages that have text under a counted subtree meet the
 template table; the HTML itself is never shuffled.
 
-Defined results: null or empty html gives an empty text; a null url is a host of its own (empty
-name); null page_ids and repeated rows are rows like others; extra columns are ignored; broken
+Defined results: null or empty html gives an empty text; a page whose url is null or has no host
+keeps what its markup leaves; null page_ids and repeated rows are rows like others; extra columns are ignored; broken
 markup is read to its end as browsers do (unclosed elements end with their parent).
 """
 
@@ -333,7 +333,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int], bool, bool]], list[int]
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """(row, page_id, url, host, blocks, hashes): blocks of the article, or of a page without one all
+    """(row, page_id, url, host, content, blocks, hashes): a hash of the html, blocks of the article, or of a page without one all
     but its menus; ``under`` are the counted subtrees around a block."""
     block = pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64()))])
 
@@ -346,20 +346,22 @@ def page_rows(pages: DataFrame) -> DataFrame:
                               if (inside if article else not menu)])
                 hashes.append(sorted(set(own)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(texts, pa.list_(block)), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "blocks", "hashes"])
+                [*batch.columns[:3], batch.column(4), pa.array(texts, pa.list_(block)),
+                 pa.array(hashes, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "content", "blocks", "hashes"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(
-        run, f"page_id {kind}, url string, host string, blocks array<struct<text:string,under:array<bigint>>>, "
+    return pages.select("page_id", "url", host.alias("host"), "html", F.xxhash64("html").alias("content")).mapInArrow(
+        run, f"page_id {kind}, url string, host string, content long, blocks array<struct<text:string,under:array<bigint>>>, "
              "hashes array<bigint>").withColumn("row", F.monotonically_increasing_id())
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(host, hash) of the subtrees that recur across many pages of the host."""
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(
+    """(host, hash) of the subtrees that recur across many pages of the host; equal pages are one."""
+    own = rows.where(F.col("host") != "").groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    pages = own.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = own.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(
         F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     return counts.join(pages, "host").where(F.col("n") >= F.least(0.05 * F.col("pages"), F.lit(MOST_PAGES))).select(
         "host", "hash")
@@ -371,7 +373,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     under = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b.under)))
     touched = F.exists("blocks", lambda b: F.size(b.under) > 0)
     gone = (rows.where(touched).select("row", "host", F.explode(under).alias("hash"))
-            .join(templates(rows), ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")))
+            .join(templates(rows).hint("merge"), ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")))
     done = rows.where(~F.coalesce(touched, F.lit(False))).select("page_id", "url", "blocks")
     cut = rows.where(touched).select("row", "page_id", "url", "blocks").join(gone, "row", "left").select(
         "page_id", "url", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(
