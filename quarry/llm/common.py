@@ -26,6 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample(rows: DataFrame, draw: str, n: int, size: int) -> DataFrame:
+    """At most ``size`` of the ``n`` rows: those with the smallest values of the hash column
+    ``draw``, rows of one value counting as one.  Only hashes are compared, about ``size`` of them."""
+    if n <= size:
+        return rows
+    # some more than needed, then exactly
+    share = int(1.2 * size / n * 1_000_000) + 1
+    some = rows.where(F.pmod(F.col(draw), F.lit(1_000_000)) < share)
+    last = some.select(draw).distinct().orderBy(draw).limit(size).agg(F.max(draw)).first()[0]
+    return some.where(F.col(draw) <= F.lit(last)).dropDuplicates([draw])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,8 @@
    source's size, and the excess is shared again by weight until none is above.
 2. Equal-token blocks go to sources by the highest quotients target / (2 * seats + 1).
 3. A source's blocks beyond whole passes over all its documents are shared out to its shards
-   (hashed, about ``SHARD_WORDS`` words each) by the same rule: integer quotas per shard.
+   (hashed, about ``SHARD_WORDS`` words each) by the same rule: integer quotas per shard.  A source of
+   more than ``RANGE`` shards shares them out to ranges of shards first, then within each range.
 4. In a shard, documents stand in seeded hash order, their words are cut into blocks, and blocks
    are taken in seeded hash order until the quota is full.
 
@@ -41,6 +42,8 @@ CAP = 3
 #: A block has total / BLOCKS words, at least 1 and at most BLOCK_WORDS.
 BLOCKS, BLOCK_WORDS = 100_000, 64
 SHARD_WORDS = 250_000
+#: Shards that are dealt with at once, and sources whose plan is broadcast at most.
+RANGE, PLANNED = 4_096, 100_000
 SEED = 20_240_607
 
 
@@ -100,11 +103,25 @@ def _plan(totals: list[tuple[str, int]]) -> tuple[int, list[tuple]]:
     return block, rows
 
 
-def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
-    """The source's blocks, shared out to its shards; one row per shard."""
-    shards = shards.sort_values("shard")
-    won = sainte_lague(shards["words"].tolist(), int(shards["blocks"].iloc[0]))
-    return shards[["key", "shard"]].assign(won=won)
+def _shared_out(parts: pd.DataFrame) -> pd.DataFrame:
+    """Blocks, shared out to the parts of a source or range by their words."""
+    parts = parts.sort_values("part")
+    won = sainte_lague(parts["words"].tolist(), int(parts["blocks"].iloc[0]))
+    return parts[["key", "part"]].assign(won=won)
+
+
+def _quotas(some: DataFrame) -> DataFrame:
+    """(key, shard, won): no group holds more than RANGE shards or the ranges of a source."""
+    shards = some.groupBy("key", F.floor(F.col("shard") / RANGE).alias("range"), "shard").agg(
+        F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
+    schema = "key string, part long, won long"
+    ranges = (shards.groupBy("key", F.col("range").alias("part")).agg(F.sum("words").alias("words"), F.first("blocks").alias("blocks"))
+              .groupBy("key").applyInPandas(_shared_out, schema)
+              .select("key", F.col("part").alias("range"), F.col("won").alias("blocks")))
+    return (shards.drop("blocks").join(ranges, ["key", "range"])
+            .select("key", "range", F.col("shard").alias("part"), "words", "blocks")
+            .groupBy("key", "range").applyInPandas(_shared_out, schema)
+            .select("key", F.col("part").alias("shard"), "won"))
 
 
 def _selector(block: int, fields: list[str]):
@@ -153,11 +170,11 @@ def _mixed(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     block, plan = _plan(totals)
     plan_df = spark.createDataFrame(plan, "key string, source_size long, target double, passes long, "
                                           "blocks long, shards long")
-    joined = sized.join(plan_df, "key")
+    # a row per source: a checked size
+    joined = sized.join(F.broadcast(plan_df) if len(plan) <= PLANNED else plan_df, "key")
     some = joined.where("size > 0").withColumn("shard", F.pmod(F.col("_tie"), F.col("shards"))).withColumn(
         "_order", F.xxhash64(F.lit(SEED), F.col("_tie")))
-    quotas = (some.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-              .groupBy("key").applyInPandas(_shard_quotas, "key string, shard long, won long"))
+    quotas = _quotas(some)
     flat = [f"c_{k}" for k in range(len(carry))]
     own = T.StructType.fromDDL("size long, source_size long, target double, passes long, "
                                "spans array<array<long>>, taken long")

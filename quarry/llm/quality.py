@@ -5,12 +5,14 @@
    expectation-maximisation estimates the share of good documents and each labeller's accuracies
    (its vote's probabilities given the class) without any true label.
 3. The posterior of a document's pattern is its soft label.  A linear scorer is trained on a seeded
-   sample of about ``TRAIN_ROWS`` documents: words, word shapes and word beginnings are hashed into
-   ``DIMENSIONS`` weights, a text's margin is the mean over its words.
+   sample of at most ``TRAIN_ROWS`` documents: words, word shapes and word beginnings are hashed into
+   ``DIMENSIONS`` weights, a text's margin is the mean over its words.  A word longer than ``PIECE``
+   characters counts as its consecutive pieces, so that all of an unbroken text is seen.
 4. The scorer scores every whole text; below 0.5 a document is rejected.
 
 Defined results: a null text is an empty text; a text without words scores 0 and is rejected; null
-doc_ids and repeated rows are rows like others; extra columns are ignored or carried untouched.
+doc_ids and repeated rows are rows like others (a row repeated as a whole is drawn once at most);
+extra columns are ignored or carried untouched.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_or_empty, written
+from quarry.llm.common import sample, table, text_or_empty
 from quarry.llm.toxicity import with_score
 
 TRAIN_ROWS, DIMENSIONS, STEPS, RATE, L2 = 4_000, 1 << 18, 80, 0.2, 1e-6
 EM_ROUNDS, SEED = 200, 3
 CACHE_WORDS = 500_000
+#: Characters of a word that are hashed as one.
+PIECE = 24
 
 #: Frequent function words of the corpus languages.
 FUNCTION_WORDS = frozenset((
@@ -136,12 +140,20 @@ def expectation_maximisation(patterns: dict[str, int]) -> dict[str, float]:
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
+def pieces(text: str) -> list[str]:
+    """The text's words, long ones cut."""
+    words = text.split()
+    if max(map(len, words), default=0) > PIECE:
+        words = [w[k:k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+    return words
+
+
 def hashed(word: str) -> list[int]:
-    """The word's places among the weights: itself, its shape and its beginning."""
+    """The piece's places among the weights: itself, its shape, its beginning and its end."""
     low = word.lower()
     shape = _RUN.sub(r"\1", "".join("x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else
-                                     "x" if c.isalpha() else c for c in word[:24]))
-    return [crc32(f.encode()) % (DIMENSIONS - 2) for f in ("w" + low[:24], "s" + shape, "p" + low[:3], "e" + word[-2:])]
+                                     "x" if c.isalpha() else c for c in word))
+    return [crc32(f.encode()) % (DIMENSIONS - 2) for f in ("w" + low, "s" + shape, "p" + low[:3], "e" + word[-2:])]
 
 
 #: Places of the two facts that no single word shows.
@@ -161,7 +173,7 @@ class Scorer:
         return value
 
     def score(self, text: str) -> float:
-        words = text.split()
+        words = pieces(text)
         if not words:
             return 0.0
         known, of = self.known, self._of
@@ -190,17 +202,16 @@ def patterns(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n"))
 
 
-def training_rows(docs: DataFrame, n: int, posterior: dict[str, float]) -> tuple[np.ndarray, list]:
+def training_rows(docs: DataFrame, n: int, posterior: dict[str, float]) -> DataFrame:
     """Soft labels and hashed features of the sample: numbers only reach the driver."""
-    share = 1_000_000 if n <= TRAIN_ROWS else int(TRAIN_ROWS / n * 1_000_000)
-    drawn = docs.select(text_or_empty().alias("text")).where(
-        F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < share)
+    rows = docs.select(text_or_empty().alias("text"), F.xxhash64(F.lit(SEED), F.col("doc_id"), text_or_empty()).alias("draw"))
+    drawn = sample(rows, "draw", n, TRAIN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, places, values = [], [], []
             for text in map(pa.StringScalar.as_py, batch.column(0)):
-                words = text.split()
+                words = pieces(text)
                 if not words:
                     continue
                 counts: Counter = Counter()
@@ -214,18 +225,19 @@ def training_rows(docs: DataFrame, n: int, posterior: dict[str, float]) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), pa.array(places, pa.list_(pa.int32())),
                                               pa.array(values, pa.list_(pa.float32()))], names=["y", "places", "vals"])
 
-    return drawn.mapInArrow(run, "y double, places array<int>, vals array<float>")
+    return drawn.select("text").mapInArrow(run, "y double, places array<int>, vals array<float>")
 
 
-def fit(rows) -> Scorer:
+def fit(rows: pa.Table) -> Scorer:
     """Adam on the soft labels' log loss + L2, over sparse rows."""
-    y = rows["y"].to_numpy(float)
+    y = rows["y"].to_numpy()
     weights = np.zeros(DIMENSIONS)
     if not len(y):
         return Scorer(weights, 0.0)
-    # copies in the sample make order matter only beyond the last digits
-    row = np.repeat(np.arange(len(y)), rows["places"].map(len)).astype(np.int32)
-    col, val = np.concatenate(rows["places"].to_list()), np.concatenate(rows["vals"].to_list()).astype(np.float32)
+    # the order of rows matters only beyond the last digits
+    places = rows["places"].combine_chunks()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), places.value_lengths().to_numpy())
+    col, val = places.flatten().to_numpy(), rows["vals"].combine_chunks().flatten().to_numpy()
     bias = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for step in range(1, STEPS + 1):
@@ -241,7 +253,7 @@ def fit(rows) -> Scorer:
 def train_scorer(docs: DataFrame) -> Scorer:
     counts = {r[0]: r[1] for r in patterns(docs).collect()}
     posterior = expectation_maximisation(counts)
-    return fit(training_rows(docs, sum(counts.values()), posterior).toPandas())
+    return fit(training_rows(docs, sum(counts.values()), posterior).toArrow())
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -192,15 +192,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one of the smallest doc_id (null ids last); of
-    repeated rows, one."""
+    repeated rows, the one whose other columns hash lowest."""
     member = _members(written(fingerprints(docs), "fingerprints"))
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("_first"))
     stay = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.copy").alias("_copy")).distinct()
     copy = F.xxhash64(text_or_empty())
     own = F.col("doc_id").cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own"), copy.alias("_of"))
+    rest = [c for c, kind in docs.dtypes if c != "text" and "map<" not in kind]     # maps have no hash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own"), copy.alias("_of"),
+                       F.xxhash64(*rest).alias("_low"))
     return (rows.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_copy")), "left_semi")
-            .groupBy("_own", "_of").agg(F.first("_row").alias("_row")).select("_row.*"))
+            .groupBy("_own", "_of").agg(F.min_by("_row", "_low").alias("_row")).select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ two terms: the labels' log loss, and for each training text that names a group o
 squared change of its score when the group term is swapped for another of its kind.  The second
 term keeps weight off neutral mentions of groups, which labelled data often pair with insults.
 
-Training rows are a seeded sample of at most about ``TRAIN_ROWS`` labelled documents outside the
+Training rows are a seeded sample of at most ``TRAIN_ROWS`` labelled documents outside the
 held-out fold (crc32 of the id as text, mod 5, is 0); statistics and fit see no others.  Labels,
 lang, source and doc_id are never inputs of a score.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_or_empty, written
+from quarry.llm.common import sample, table, text_or_empty, written
 
 TRAIN_ROWS = 20_000
 FOLDS = 5
@@ -115,9 +115,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     n = open_rows.count()
     share = 1_000_000 if n <= TRAIN_ROWS else int(TRAIN_ROWS / n * 1_000_000)
     drawn = open_rows.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share)
-    # about TRAIN_ROWS pairs of numbers, whatever the corpus size
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").select(
-        "text", F.col("label").cast("int").alias("label"))
+    # about TRAIN_ROWS pairs of numbers, whatever the corpus size; an id that many rows repeat may
+    # still bring many texts, of which the sample is cut
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").select(
+        "text", F.col("label").cast("int").alias("label"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("draw"))
+    rows = written(rows, "toxic-rows")
+    return sample(rows, "draw", rows.count(), TRAIN_ROWS).select("text", "label")
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
@@ -180,21 +183,21 @@ def encoded(train: DataFrame, names: list[str]) -> tuple:
                 [batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))],
                 names=["label", "own", "swapped"])
 
-    rows = train.mapInArrow(run, "label int, own array<int>, swapped array<int>").toPandas()
-    return rows.sort_values(["label"], kind="stable")["label"].to_numpy(), *rows.sort_values(
-        ["label"], kind="stable")[["own", "swapped"]].to_numpy().T
+    rows = train.mapInArrow(run, "label int, own array<int>, swapped array<int>").toArrow()
+    return rows["label"].to_numpy(), rows["own"].combine_chunks(), rows["swapped"].combine_chunks()
 
 
-def fit(labels: np.ndarray, own: np.ndarray, swapped: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+def fit(labels: np.ndarray, own: pa.ListArray, swapped: pa.ListArray, n: int) -> tuple[np.ndarray, float]:
     """Adam on log loss + L2 + SWAP * mean squared change of the margin under the swap."""
-    def sparse(rows) -> tuple[np.ndarray, np.ndarray]:
-        return (np.repeat(np.arange(len(rows)), [len(r) for r in rows]),
-                np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.empty(0, np.int64))
+    def sparse(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        return (np.repeat(np.arange(len(rows), dtype=np.int32), rows.value_lengths().to_numpy()),
+                rows.flatten().to_numpy())
 
-    named = [k for k, s in enumerate(swapped) if s is not None]
+    named = swapped.is_valid()
     row, col = sparse(own)
-    row_a, col_a = sparse([own[k] for k in named])
-    row_b, col_b = sparse([swapped[k] for k in named])
+    row_a, col_a = sparse(own.filter(named))
+    row_b, col_b = sparse(swapped.filter(named))
+    named = np.flatnonzero(named.to_numpy(zero_copy_only=False))
     y = (labels != 0).astype(float)
     w, bias = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -202,7 +205,7 @@ def fit(labels: np.ndarray, own: np.ndarray, swapped: np.ndarray, n: int) -> tup
         margin = bias + np.bincount(row, w[col], len(y))
         error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y) / len(y)
         grad = np.bincount(col, error[row], n) + L2 * w / max(1, n) ** 0.5
-        if named:
+        if len(named):
             change = (np.bincount(row_a, w[col_a], len(named)) - np.bincount(row_b, w[col_b], len(named))) / len(named)
             grad += SWAP * (np.bincount(col_a, change[row_a], n) - np.bincount(col_b, change[row_b], n))
         whole = np.append(grad, error.sum())

@@ -8,7 +8,17 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 
-from quarry.llm import alignment, hard_negatives, token_counts
+from quarry.llm import (
+    alignment,
+    hard_negatives,
+    html_text,
+    mixing,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 DOCS = "doc_id long, text string, n_bytes long, n long, key string, block string, n_a long"
 LONG = " ".join(f"Wörd{k % 977} the," for k in range(60_000))
@@ -190,3 +200,87 @@ def test_hard_negatives_beyond_doubles(spark):
     assert multiset(hard_negatives.hard_negatives(frame, every=20).collect()) == Counter(brute_negatives(rows, 20))
     assert hard_negatives.unpacked(hard_negatives.packed(3, -5, True, None)) == (3, -5, True, None)
     assert hard_negatives.packed(3, 9, False, 5) < hard_negatives.packed(3, 9, True, 1) < hard_negatives.packed(3, 8, False, 1)
+
+
+def test_token_file_encoder_equals_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    lib, own = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    pool = [*"abzAZÀÖéÿßÞø'sStTlLdDrReEvVmM<|>!?.,#%5 ½Ⅻ", "<|endoftext|>", "<|STARTOFTEXT|>", "́", "̇",
+            "̸", "İ", "İ", "H̱", "ſ", "K", "\x1c", "\x85", "​", "　", "'s", "'RE", "中", "😀",
+            "\n", "\t", "é", "ΑΣ", " "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(8000)] + ["", LONG]
+    ids, sizes = own(pa.array(texts), 1)
+    want = [[*e.ids, 1] for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_sample_is_bounded_where_one_row_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm.common import sample
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("id")).withColumn(
+        "draw", F.xxhash64("id"))
+    got = sample(rows, "draw", 60_000, 1000)
+    assert 600 < got.count() == got.distinct().count() <= 1000
+    assert sorted(got.collect()) == sorted(sample(rows.repartition(5), "draw", 60_000, 1000).collect())
+
+
+def test_quality_training_rows_are_bounded_and_unbroken_texts_are_whole(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 200)
+    texts = [(k, "one copied text for a third of all rows" if k % 3 == 0 else f"text number {k} of many") for k in range(9000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert 100 < quality.training_rows(docs, 9000, {}).count() <= 200
+    same = spark.createDataFrame([(1, "the same row")] * 3000 + texts[:600], "doc_id long, text string")
+    assert quality.training_rows(same, 3600, {}).count() <= 200
+    a, b = "x" * 40 + "y" * 100_000 + "end", "x" * 40 + "%&" * 50_000 + "end"
+    assert quality.pieces("ab " + a)[:2] == ["ab", "x" * 24] and "".join(quality.pieces(a)) == a
+    weights = np.zeros(quality.DIMENSIONS, np.float32)
+    weights[quality.hashed("%&" * 12)[0]] = -5.0
+    scorer = quality.Scorer(weights, 1.0)
+    assert scorer.score(a) > 0.7 and scorer.score(b) < 0.1
+
+
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 300)
+    ids = [(k if k % 3 else 1, f"text {k}") for k in range(6000)]
+    docs = spark.createDataFrame(ids, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(250)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, "toxic").count() <= 300
+
+
+PAGE = "<html><body><div class='x1'><p>{0} notice of the site</p></div><section><ul><li>{1}</li><li>two</li></ul></section></body></html>"
+
+
+@pytest.mark.parametrize("copies", [2, 10, 1000])
+def test_mirrored_pages_keep_their_text(spark, copies):
+    pages = [(k, f"https://host.example/m{k}", PAGE.format("Some", "mirror")) for k in range(copies)]
+    pages += [(5000 + k, f"https://other.example/{k}", PAGE.format("Same", f"page {k}")) for k in range(12)]
+    got = {r.page_id: r.text for r in html_text.main_texts(
+        spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(copies)} == {"Some notice of the site\nmirror\ntwo"}
+    assert got[5003] == "page 3"     # what 12 different pages share is template
+
+
+def test_pages_without_host_share_no_template(spark):
+    pages = [(k, [None, "/relative", ""][k % 3], PAGE.format("Same", f"page {k // 10}")) for k in range(60)]
+    got = html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Same notice of the site\npage {k}\ntwo" for k in range(6)}
+
+
+def test_quotas_in_ranges_keep_totals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 3)
+    rows = [("a", k, 5 + k % 4, 11) for k in range(20)] + [("b", 0, 9, 2)]
+    some = spark.createDataFrame(rows, "key string, shard long, size long, blocks long")
+    got = mixing._quotas(some).collect()
+    assert len(got) == 21 and sum(r.won for r in got if r.key == "a") == 11 and sum(r.won for r in got if r.key == "b") == 2
+    assert all(r.won <= 2 for r in got if r.key == "a")
+
+
+def test_kept_row_of_repeated_ids_does_not_depend_on_order(spark):
+    rows = [(1, "a text of some words", lang) for lang in ("en", "de", "fr", None)] * 3
+    kind = "doc_id long, text string, lang string"
+    kept = {simhash.kept(spark.createDataFrame(rows[s:] + rows[:s], kind).repartition(4)).collect()[0].lang for s in range(4)}
+    assert len(kept) == 1
