@@ -24,17 +24,18 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table, text_or_empty, written
+from quarry.llm.token_files import WordEncoder
 
 #: Text of a block, and of the batches it is aligned in (a longer text is one of its own).
 BLOCK_BYTES, BATCH_BYTES = 16_000_000, 2_000_000
@@ -63,22 +64,37 @@ class Side:
     def __len__(self) -> int:
         return len(self.tokens)
 
-    def spelled(self, ids: list[int], text: bytes) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids)) == text
+    def spells(self, ids: np.ndarray, n: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether the ids of each text give back its bytes."""
+        blob = b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        cuts = np.append(0, np.cumsum(self.length[ids]))[np.append(0, np.cumsum(n))].tolist()
+        return np.array([blob[low:high] == text for low, high, text in zip(cuts[:-1], cuts[1:], texts, strict=True)])
+
+
+class SpacedEncoder(WordEncoder):
+    """Encodes a blank and the text.  The tokenizer's pattern starts anew at a blank that has white
+    space on one side at most, so that a text is cut at its blanks, each part with its blank before
+    it, and each distinct part is encoded once; texts with other blanks are encoded whole."""
+
+    whole, before = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)|^ (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)", " "
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def parts(self, texts: pa.Array) -> pa.Array:
+        return pc.split_pattern(texts, " ")
 
 
 class Aligner:
     """Both tokenizers of a worker process."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.lib_a = Tokenizer.from_file(path_a)
-        self.lib_a.encode_special_tokens = True
+        self.words_a = SpacedEncoder(path_a)
         self.lib_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
-        vocabulary = self.lib_a.get_vocab(with_added_tokens=True)
+        vocabulary = self.words_a.tokenizer.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             tokens[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
@@ -87,26 +103,23 @@ class Aligner:
         self.b = Side([bytes([int(p[3:5], 16)]) if self.lib_b.is_byte(k) else p.replace("▁", " ").encode()
                        for k, p in enumerate(pieces)])
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each text by A and by B; none where either does not spell the text."""
-        found_a = [e.ids for e in self.lib_a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        found_b = self.lib_b.encode(texts, num_threads=1)
-        for k, text in enumerate(texts):
-            whole = f" {text}".encode()
-            if not (text and self.a.spelled(found_a[k], whole) and self.b.spelled(found_b[k], whole)):
-                found_a[k], found_b[k] = [], []
-        return found_a, found_b
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by A and by B, and how many each text has; none where either does not spell the text."""
+        a, n_a = self.words_a(pa.array(texts, pa.string()))
+        found = self.lib_b.encode(texts, num_threads=1)
+        n_b = np.array([len(x) for x in found], np.int64)
+        b = np.fromiter((k for x in found for k in x), np.int64, int(n_b.sum()))
+        spelled = [f" {t}".encode() for t in texts]
+        good = self.a.spells(a, n_a, spelled) & self.b.spells(b, n_b, spelled) & np.array([t != "" for t in texts])
+        return a[np.repeat(good, n_a)].astype(np.int64), n_a * good, b[np.repeat(good, n_b)], n_b * good
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links per text as rows; the texts' digests; and the texts' distinct
         pairs: text, pair = a * len(B) + b, links)."""
-        found_a, found_b = self.ids(texts)
-        n_a, n_b = (np.array([len(x) for x in found], np.int64) for found in (found_a, found_b))
-        a, b = (np.fromiter((k for x in found for k in x), np.int64, int(n.sum()))
-                for found, n in ((found_a, n_a), (found_b, n_b)))
+        a, n_a, b, n_b = self.ids(texts)
         # the texts stand one after the other; each ends where tokens of both end
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        both = end_a[np.append(end_b, -1)[np.searchsorted(end_b, end_a)] == end_a]
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
         text_a, text_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)
         last_a = np.diff(group_a, append=len(both)) > 0

@@ -53,6 +53,9 @@ class WordEncoder:
     the end of a run of letters: a text's ids are those of its parts, so each distinct part is
     encoded once."""
 
+    #: Texts that are one part, and what each part begins with besides its own characters.
+    whole, before = _WHOLE, ""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -61,42 +64,45 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def _codes(self, words: list[str]) -> list[bytes]:
-        """Each distinct word's ids; those not seen before are encoded in one call."""
+        """Each distinct part's ids; those not seen before are encoded in one call."""
         known = self.words
         if len(known) > CACHE_WORDS:
             known.clear()
         new = [w for w in words if w not in known]
+        asked = [self.before + w for w in new] if self.before else new
         found = {w: np.array(e.ids, self.dtype).tobytes() for w, e in
-                 zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+                 zip(new, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True)}
         codes = [found[w] if w in found else known[w] for w in words]
         known.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
         return codes
 
-    def _parts(self, texts: pa.Array) -> pa.Array:
+    def parts(self, texts: pa.Array) -> pa.Array:
         return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _LETTERS_END, r"\1 \2"))
 
-    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, each with end_id at its end; ids per text)."""
-        whole = pc.match_substring_regex(texts, _WHOLE)
+    def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with end_id, if any, at its end; ids per text)."""
+        whole = pc.match_substring_regex(texts, self.whole)
         if pc.any(whole).as_py():
             lists = [[t] if one else None for t, one in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
-            rest = iter(self._parts(texts.filter(pc.invert(whole))).to_pylist())
+            rest = iter(self.parts(texts.filter(pc.invert(whole))).to_pylist())
             words = pa.array([next(rest) if own is None else own for own in lists], pa.list_(pa.string()))
         else:
-            words = self._parts(texts)
+            words = self.parts(texts)
         coded = words.flatten().dictionary_encode()
-        codes = [*self._codes(coded.dictionary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        codes = self._codes(coded.dictionary.to_pylist())
+        numbers = coded.indices.to_numpy().astype(np.int64)
+        own = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        if end_id is not None:      # one more part of each text
+            numbers = np.insert(numbers, np.cumsum(own), len(codes))
+            codes, own = [*codes, np.array([end_id], self.dtype).tobytes()], own + 1
         ids = np.frombuffer(b"".join(codes), self.dtype)
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // ids.itemsize
         starts = np.cumsum(sizes) - sizes
-        # the end id is one more word of each text
-        own = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        numbers = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(own), len(codes) - 1)
         lengths = sizes[numbers]
         ends = np.cumsum(lengths)
         at = np.repeat(starts[numbers] - (ends - lengths), lengths)
         at += np.arange(len(at))
-        return ids[at], np.diff(np.append(0, ends)[np.append(0, np.cumsum(own + 1))])
+        return ids[at], np.diff(np.append(0, ends)[np.append(0, np.cumsum(own))])
 
 
 @lru_cache(maxsize=2)

@@ -75,10 +75,13 @@ def test_token_counts_of_many_small_blocks(spark):
 
 def brute_alignment(texts):
     """The contract, token by token."""
+    from tokenizers import Tokenizer
+    lib_a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib_a.encode_special_tokens = True
     a = alignment.aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     own = {}
     for t in {t for _, t in texts if t}:
-        ids_a = a.lib_a.encode(f" {t}", add_special_tokens=False).ids
+        ids_a = lib_a.encode(f" {t}", add_special_tokens=False).ids
         ids_b = a.lib_b.encode(t)
         if any(b"".join(s.tokens[i] for i in ids) != f" {t}".encode() for s, ids in ((a.a, ids_a), (a.b, ids_b))):
             continue
@@ -284,3 +287,17 @@ def test_kept_row_of_repeated_ids_does_not_depend_on_order(spark):
     kind = "doc_id long, text string, lang string"
     kept = {simhash.kept(spark.createDataFrame(rows[s:] + rows[:s], kind).repartition(4)).collect()[0].lang for s in range(4)}
     assert len(kept) == 1
+
+
+def test_spaced_encoder_equals_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    lib, own = Tokenizer.from_file(path), alignment.SpacedEncoder(path)
+    lib.encode_special_tokens = True
+    pool = [*"abzAÖéß's!?.,#%5 ½Ⅻ    ", "<|endoftext|>", "\u0301", "\x1c", "\x85", "\u200b", "\u3000", " \n", "\n ", "\t", "  ",
+            " \n ", "'s", " '", "中", "😀", "\xa0", "the", " word", "12", "\r\n"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(14))) for _ in range(30_000)] + ["", " ", "  ", LONG]
+    ids, sizes = own(pa.array(texts))
+    want = [e.ids for e in lib.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
