@@ -201,6 +201,11 @@ def headline(df: DataFrame, crop_col: str, type_col: str) -> DataFrame:
 
 
 def median_size(sizes: DataFrame, size_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated median.  Spark's percentile keeps a map of distinct
-    values; integer volumes have at most sqrt(2*total) distinct values."""
-    return sizes.groupBy(*group_cols).agg(F.median(size_col).alias("median_size"))
+    """Exact interpolated median, from the middle ranks of the distributed prefix rank (a row's
+    number breaks ties, so that a frequent size is split)."""
+    from quarry.operators.saturation import prefix_rank
+    rows = sizes.select(*group_cols, size_col, F.monotonically_increasing_id().alias("_tie")).where(F.col(size_col).isNotNull())
+    k, rank = F.col("n_types"), F.col("rank")
+    middle = (rank == F.floor((k + 1) / 2)) | (rank == F.floor((k + 2) / 2))
+    return prefix_rank(rows, size_col, ["_tie"], group_cols).where(middle).groupBy(*group_cols).agg(
+        F.avg(size_col).alias("median_size"))

@@ -17,27 +17,28 @@ from quarry.sources.tables import table
 _WS = "' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f'"  # real control characters (DuckDB has no escapes)
 
 
-def mapping(spark, sf):
+def mapping(spark, sf, keywords: bool = False):
     """Stand-in for the per-crop mapping files: one row per unique (crop, text) of
     ``documents``; crop = lang, cluster = source number, ``src0`` is noise (-1),
-    count = number of identical copies, keywords = the text's five highest TF-IDF
-    terms (M4, vocabulary fitted per crop over the whole texts)."""
+    count = number of identical copies and, where asked for, keywords = the text's five
+    highest TF-IDF terms (M4, vocabulary fitted per crop over the whole texts)."""
     from quarry.operators.tfidf import top_terms
     from quarry.plans.text_queries import _word_tfidf
     d = table(spark, sf, "documents")
+    m = d.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("count"))
+    columns = [F.col("lang").alias("crop"), F.col("text").alias("query_text"),
+               F.when(F.col("source") == "src0", F.lit(-1))
+               .otherwise(F.substring("source", 4, 10).cast("int")).alias("cluster_id"), "count"]
+    if not keywords:
+        return m.select(*columns)
     _, w = _word_tfidf(spark, sf)
     kw = top_terms(w, ["lang", "doc_id"], 5).select(
         "lang", "doc_id", F.array_join("keywords", ", ").alias("kw"))
     # identical texts of one crop have identical keywords: one value per (crop, text)
     kwt = (d.select("doc_id", "lang", "text").join(kw, ["lang", "doc_id"])
            .groupBy("lang", "text").agg(F.min("kw").alias("top_keywords")))
-    m = d.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("count"))
-    m = m.join(kwt, ["lang", "text"], "left")
-    return m.select(
-        F.col("lang").alias("crop"), F.col("text").alias("query_text"),
-        F.when(F.col("source") == "src0", F.lit(-1))
-         .otherwise(F.substring("source", 4, 10).cast("int")).alias("cluster_id"),
-        "count", F.coalesce(F.col("top_keywords"), F.lit("")).alias("top_keywords"))
+    return m.join(kwt, ["lang", "text"], "left").select(
+        *columns, F.coalesce(F.col("top_keywords"), F.lit("")).alias("top_keywords"))
 
 
 def _mapping_sql():
@@ -79,7 +80,7 @@ summary AS (
 @register("g15_cluster_summary", sql=f"WITH {_summary_sql()}\nSELECT * FROM summary")
 def g15_cluster_summary(spark, sf):
     """Size, unique texts, representative text and top-5 keywords per cluster."""
-    return faq.cluster_summary(mapping(spark, sf)).select(
+    return faq.cluster_summary(mapping(spark, sf, keywords=True)).select(
         "crop", "cluster_id", "size", "unique_queries", "representative", "top_keywords")
 
 
