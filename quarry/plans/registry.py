@@ -23,6 +23,7 @@ _MODULES = (
     "quarry.plans.vector_queries",
     "quarry.plans.cluster_queries",
     "quarry.plans.misc_queries",
+    "quarry.plans.experiments",
 )
 
 
