@@ -38,8 +38,9 @@ from quarry.llm.common import partitions, shared_path, table, text_or_empty
 #: Word occurrences of a block (a longer document is a block of its own), texts handed over at
 #: once, and partitions whose blocks are grouped together.
 BLOCK_WORDS, GROUP = 6_000_000, 1024
-#: Bits of a place that number a word within its block, and a block within its partition.
-_NUMBER, _BLOCK = 24, 18
+#: Bits of a place that number a word within its block (more than a text of Spark's longest, 2 GiB,
+#: can hold distinct ones), and a block within its partition.
+_NUMBER, _BLOCK = 30, 13
 #: The literal map is cut into this many small maps, picked by CRC-32 of the key.
 BUCKETS = 1 << 15
 #: A rank is kept as one character, U+0800 + rank, so that characters order as ranks do (in three
@@ -141,8 +142,6 @@ def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
             coded = pa.chunked_array([b.column(1).flatten() for b in held], pa.string()).dictionary_encode()
             numbers = np.concatenate([np.empty(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
             found = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
-            if len(found) >= 1 << _NUMBER:
-                raise ValueError(f"a document of {len(numbers)} words has {len(found)} distinct ones")
             # frequent words get small numbers: their high bytes, kept apart, compress to little
             rank = np.empty(len(found), np.int32)
             rank[np.argsort(-np.bincount(numbers, minlength=len(found)), kind="stable")] = np.arange(len(found))
@@ -152,7 +151,7 @@ def _words(docs: DataFrame, out: str, pattern: str) -> DataFrame:
             name = (part << _BLOCK) + n_blocks
             path = f"{root}/block-{name}"
             with fs.open_output_stream(f"{path}.attempt-{attempt}") as f:
-                for part_table in (own, pa.table([np.ascontiguousarray(planes[:, k]) for k in range(3)], ["0", "1", "2"])):
+                for part_table in (own, pa.table([np.ascontiguousarray(planes[:, k]) for k in range(4)], ["0", "1", "2", "3"])):
                     with pa.ipc.new_stream(f, part_table.schema,
                                            options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                         stream.write_table(part_table)
@@ -195,8 +194,8 @@ def read_block(out: str, name: int) -> tuple[pa.ChunkedArray, np.ndarray, np.nda
     fs, root = _open(out)
     with fs.open_input_stream(f"{root}/block-{name}") as f:
         own, numbers = (pa.ipc.open_stream(f).read_all() for _ in range(2))
-    planes = [numbers[k].to_numpy().astype(np.int32) for k in ("0", "1", "2")]
-    return own["doc_id"], own["words"].to_numpy(), planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = [numbers[k].to_numpy().astype(np.int32) for k in ("0", "1", "2", "3")]
+    return own["doc_id"], own["words"].to_numpy(), planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
 
 def put_in_place(own: np.ndarray, numbers: np.ndarray, word_ids: np.ndarray, sizes: np.ndarray) -> tuple:
