@@ -38,6 +38,8 @@ from quarry.llm.common import partitions, shared_path, table, text_or_empty
 #: Word occurrences of a block (a longer document is a block of its own), texts handed over at
 #: once, and partitions whose blocks are grouped together.
 BLOCK_WORDS, GROUP = 6_000_000, 1024
+#: Ids whose bytes are laid out at once.
+STEP = 1_000_000
 #: Bits of a place that number a word within its block (more than a text of Spark's longest, 2 GiB,
 #: can hold distinct ones), and a block within its partition.
 _NUMBER, _BLOCK = 30, 13
@@ -250,16 +252,33 @@ def decode(ids: list[int], tokens: dict[int, bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
+def joined_sha256(ids: np.ndarray, starts: np.ndarray, pieces: pa.LargeBinaryArray, last: int) -> list[str]:
+    """SHA-256 of each document's pieces, one after the other, but for the ``last`` bytes at its end;
+    ``STEP`` ids at a time are laid out as bytes, however long a document is."""
+    found, low, high = [], 0, 0
+    for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        digest, at = hashlib.sha256(), start
+        while at < stop:
+            if at >= high:
+                low, high = at, min(at + STEP, len(ids))
+                laid = pieces.take(pa.array(ids[low:high])).buffers()
+                offsets, data = np.frombuffer(laid[1], "<i8"), memoryview(laid[2])
+            end = min(stop, high)
+            digest.update(data[offsets[at - low]:offsets[end - low] - (last if end == stop else 0)])
+            at = end
+        found.append(digest.hexdigest())
+    return found
+
+
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     tokens = {rank: token for token, rank in ranks.items()}
+    every = range(max(tokens, default=-1) + 1)
+    numbers = pa.array([b"%d," % k for k in every], pa.large_binary())
+    pieces = pa.array([tokens.get(k, b"") for k in every], pa.large_binary())
 
     def rows(doc_ids: pa.ChunkedArray, ids: np.ndarray, starts: np.ndarray) -> pa.Table:
-        coded, decoded = [], []
-        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            own = ids[low:high].tolist()
-            coded.append(hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(decode(own, tokens)).hexdigest())
+        coded, decoded = joined_sha256(ids, starts, numbers, 1), joined_sha256(ids, starts, pieces, 0)
         return pa.table({"doc_id": doc_ids, "n_tokens": np.diff(starts),
                          "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 

@@ -301,3 +301,21 @@ def test_spaced_encoder_equals_the_library():
     ids, sizes = own(pa.array(texts))
     want = [e.ids for e in lib.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_digests_of_pieces_laid_out_in_steps(monkeypatch, step):
+    """Empty documents, documents longer than a step, and a step that ends inside one."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from quarry.llm import bpe
+    monkeypatch.setattr(bpe, "STEP", step)
+    ids, starts = np.array([0, 12, 3, 3, 7, 11, 5, 0]), np.array([0, 0, 5, 5, 6, 8])
+    pieces = pa.array([b"%d," % k for k in range(13)], pa.large_binary())
+    parts = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert bpe.joined_sha256(ids, starts, pieces, 1) == [
+        hashlib.sha256(",".join(map(str, p)).encode()).hexdigest() for p in parts]
+    assert bpe.joined_sha256(ids, starts, pieces, 0) == [
+        hashlib.sha256("".join(f"{k}," for k in p).encode()).hexdigest() for p in parts]
