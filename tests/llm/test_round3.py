@@ -5,10 +5,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quarry.llm import (
+    bpe,
     alignment,
     hard_negatives,
     html_text,
@@ -306,11 +309,6 @@ def test_spaced_encoder_equals_the_library():
 @pytest.mark.parametrize("step", [1, 3, 1000])
 def test_digests_of_pieces_laid_out_in_steps(monkeypatch, step):
     """Empty documents, documents longer than a step, and a step that ends inside one."""
-    import hashlib
-
-    import pyarrow as pa
-
-    from quarry.llm import bpe
     monkeypatch.setattr(bpe, "STEP", step)
     ids, starts = np.array([0, 12, 3, 3, 7, 11, 5, 0]), np.array([0, 0, 5, 5, 6, 8])
     pieces = pa.array([b"%d," % k for k in range(13)], pa.large_binary())
