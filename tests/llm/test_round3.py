@@ -11,8 +11,8 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import (
-    bpe,
     alignment,
+    bpe,
     hard_negatives,
     html_text,
     mixing,
