@@ -1,6 +1,6 @@
 """Joins that need composition: normalised lookups, the substring
-fallback join, grids.  No cross joins: the substring join is an equi-join on
-enumerated substrings of the (short) names."""
+fallback join, grids.  No cross joins: the substring join is an equi-join on the
+rarest q-gram of the shorter name."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import normalize_key
 
+#: Characters of the grams by which names meet.
+Q = 3
+
 
 def normalized_lookup(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
                       value_cols: Sequence[str], order_col: str | None = None,
@@ -29,15 +32,30 @@ def normalized_lookup(left: DataFrame, left_col: str, right: DataFrame, right_co
     return out
 
 
-def _substrings(col: Column) -> Column:
-    """All non-empty substrings of a (short) string: at most len*(len+1)/2.
-    The string enters the lambdas as an argument (``array_repeat``), so it is
-    evaluated once per row, not once per substring."""
-    n = F.length(col)
-    per_start = F.zip_with(
-        F.sequence(F.lit(1), n), F.array_repeat(col, n),
-        lambda i, s: F.transform(F.sequence(i, F.length(s)), lambda j: F.substring(s, i, j - i + 1)))
-    return F.when(n > 0, F.flatten(per_start)).otherwise(F.array().cast("array<string>"))
+def _grams(name: Column, q: int) -> Column:
+    """All substrings of ``q`` characters."""
+    n = F.length(name)
+    return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(name, i, F.lit(q)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def containing_pairs(short: DataFrame, short_col: str, long: DataFrame, long_col: str) -> DataFrame:
+    """``(short_col, long_col)``: the distinct non-empty names of ``short`` that stand in one of ``long``.
+
+    A name within another has all its q-grams there, so it meets the others by its rarest one only (a
+    name of fewer than ``Q`` characters by itself), and ``contains`` decides.  A long name gives at most
+    ``Q`` rows a character, a short one a single key."""
+    own = short.select(short_col).where(F.length(short_col) > 0).distinct()
+    index = (long.select(long_col).where(F.length(long_col) > 0).distinct()
+             .select(long_col, F.explode(F.array_distinct(F.concat(
+                 *[_grams(F.col(long_col), q) for q in range(1, Q + 1)]))).alias("_gram")))
+    often = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram that no long name has is the rarest: its name meets nothing
+    keys = (own.select(short_col, F.explode(F.when(F.length(short_col) < Q, F.array(short_col)).otherwise(
+                F.array_distinct(_grams(F.col(short_col), Q)))).alias("_gram"))
+            .join(often, "_gram", "left")
+            .groupBy(short_col).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram"))["_gram"].alias("_gram")))
+    return keys.join(index, "_gram").where(F.contains(F.col(long_col), F.col(short_col))).select(short_col, long_col)
 
 
 def substring_fallback(left: DataFrame, id_col: str, name_col: str, right: DataFrame,
@@ -45,25 +63,20 @@ def substring_fallback(left: DataFrame, id_col: str, name_col: str, right: DataF
     """For each left row, the first right row (in ``order_col`` order) whose
     normalised key is contained in the left's normalised name or contains it.
 
-    Both directions are equi-joins on enumerated substrings (names are short), so
-    no nested-loop or cartesian join is needed at any size.  Left rows without a
-    match get null values.  ``id_col`` identifies left rows.
+    Both directions are equi-joins of distinct names on their rarest q-gram, so no nested-loop or
+    cartesian join is needed at any size.  Left rows without a match (empty and null names too) get
+    null values.  ``id_col`` identifies left rows.
     """
     lk = left.select(id_col, normalize_key(name_col).alias("_ln"))
     # a repeated normalised key stands at its first place with its last values
     rk = (right.select(normalize_key(right_key).alias("_rn"), order_col, F.struct(*value_cols).alias("_val"))
           .groupBy("_rn").agg(F.max_by("_val", order_col).alias("_val"), F.min(order_col).alias(order_col))
           .select("_rn", order_col, *[F.col(f"_val.{c}").alias(c) for c in value_cols]))
-    # right key inside left name
-    a = (lk.select(id_col, F.explode(_substrings(F.col("_ln"))).alias("_s")).distinct()
-         .join(rk, F.col("_s") == F.col("_rn")))
-    # left name inside right key
-    b = (rk.select("*", F.explode(_substrings(F.col("_rn"))).alias("_s"))
-         .join(lk, F.col("_s") == F.col("_ln")))
-    cols = [id_col, order_col, *value_cols]
-    cand = a.select(*cols).unionByName(b.select(*cols))
-    best = cand.groupBy(id_col).agg(F.min_by(F.struct(*value_cols), F.col(order_col)).alias("_v"))
-    return left.join(best, id_col, "left").select(
+    pairs = containing_pairs(rk, "_rn", lk, "_ln").unionByName(containing_pairs(lk, "_ln", rk, "_rn"))
+    best = (pairs.join(rk, "_rn").groupBy("_ln")
+            .agg(F.min_by(F.struct(*value_cols), F.col(order_col)).alias("_v")))
+    found = lk.join(best, "_ln").select(id_col, "_v")
+    return left.join(found, id_col, "left").select(
         *left.columns, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
 
 
