@@ -53,6 +53,15 @@ def char_terms(text: Column, ngram_range: tuple[int, int] = (2, 5)) -> Column:
     return F.concat(*[_shifted_concat(chars, n, "") for n in range(lo, hi + 1)])
 
 
+def term_counts(terms: Column) -> Column:
+    """(term, tf) of each distinct item of a sorted array: the distances of the places where a new one starts."""
+    n = F.size(terms)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(terms, i - 2) != F.get(terms, i - 1)))
+    ends = F.concat(F.slice(starts, 2, n), F.array(n + 1))
+    return F.when(n > 0, F.zip_with(starts, ends, lambda a, b: F.struct(
+        F.get(terms, a - 1).alias("term"), (b - a).cast("long").alias("tf"))))
+
+
 def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence[str] = (),
               max_features: int | None = 1000, max_df: float | int = 0.95,
               min_df: float | int = 2) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +72,15 @@ def fit_tfidf(docs: DataFrame, id_col: str, terms_col: str, group_cols: Sequence
     ``docs`` holds one row per document with an array column of terms.
     """
     g = list(group_cols)
-    # one pass over the texts, whose term counts are stored for the three readers below:
-    # explode_outer keeps documents without any term (null term) for the document count
-    exploded = docs.select(*g, id_col, F.explode_outer(terms_col).alias("term"))
-    tf_all = stored(exploded.groupBy(*g, id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
-    n_docs = tf_all.groupBy(*g).agg(F.countDistinct(id_col).alias("n_docs"))
-    tf = tf_all.where(F.col("term").isNotNull())
+    # one pass over the texts, whose term counts are stored for the three readers below; a document's
+    # terms stand in its row, so they are counted there and its distinct terms need no shuffle
+    counted = docs.select(*g, id_col, F.array_sort(F.array_compact(terms_col)).alias("_sorted")) \
+        .select(*g, id_col, term_counts(F.col("_sorted")).alias("_terms"))
+    # posexplode_outer keeps documents without any term (null term) for the document count
+    tf_all = stored(counted.select(*g, id_col, F.posexplode_outer("_terms").alias("_place", "_term"))
+                    .select(*g, id_col, "_place", "_term.term", "_term.tf"), "term-counts")
+    n_docs = tf_all.groupBy(*g).agg(F.sum(F.when(F.coalesce("_place", F.lit(0)) == 0, 1)).alias("n_docs"))
+    tf = tf_all.where(F.col("term").isNotNull()).drop("_place")
     stats = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if g:  # one row per group: AQE broadcasts it when small
         stats = stats.join(n_docs, g)
