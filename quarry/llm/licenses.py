@@ -12,7 +12,8 @@ expressions over that, each with a priority class and a label:
 The base phrases of the contract are counted exactly and beside that; their labels always stay.
 All of it happens within the row: no shuffle, no join, and no rows per match.
 
-Defined results: a null text is an empty text (no words, score 0); null doc_ids and repeated rows
+Defined results: a null text is an empty text (no words, score 0); texts with
+any number of matches take time in proportion to it; null doc_ids and repeated rows
 are rows like others; extra columns are ignored.
 """
 
@@ -35,6 +36,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOTICE, TAG, LATER, VERSIONED, SHORT, NAME = range(6)
 CONFIDENCE = (1.0, 1.0, 0.95, 0.9, 0.7, 0.5)
 
+#: Matches of one rule whose places one fold adds up.
+BLOCK = 256
+
 _V = r"(?: version| ver| v| release)? v?"
 _LATER = r" (?:or|and)(?: at your option)?(?: any)?(?: later| newer| above)(?: versions?)?"
 
@@ -215,6 +219,33 @@ def _let(value: Column, body) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
+def places(text: Column, pattern: Column, found: Column) -> Column:
+    """(s, n): start from 1 and length of all matches ``found`` of a pattern.  A match starts after the
+    pieces and matches before it; these sums run by blocks of ``BLOCK`` matches and over the blocks, so
+    that no fold appends to a long array."""
+    parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, match: F.struct(
+        F.length(gap).alias("gap"), F.length(match).alias("n")))
+    none = "array<struct<s:int,n:int>>"
+
+    def block(items: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast(none).alias("out"))
+        return F.aggregate(items, zero, lambda state, x: F.struct(
+            (state.at + x.gap + x.n).alias("at"),
+            F.concat(state.out, F.array(F.struct((state.at + x.gap).alias("s"), x.n.alias("n")))).alias("out")), lambda state: state.out)
+
+    def whole(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(items, i, F.lit(BLOCK)))
+        sums = _let(blocks, lambda cut: F.aggregate(
+            cut, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("firsts")),
+            lambda state, part: F.struct(
+                F.aggregate(part, state.at, lambda total, x: total + x.gap + x.n).alias("at"),
+                F.concat(state.firsts, F.array(state.at)).alias("firsts")),
+            lambda state: F.zip_with(cut, state.firsts, block)))
+        return F.flatten(sums)
+
+    return _let(parts, whole)
+
+
 def detections(padded: Column, rule_set) -> Column:
     """Sorted (start, -end, class, rule, label) of all matches of the rules whose words occur."""
     literal = F.from_json(F.lit(json.dumps([
@@ -222,17 +253,12 @@ def detections(padded: Column, rule_set) -> Column:
         for n, (c, label, pattern) in enumerate(rule_set)])), "array<struct<c:int,n:int,l:string,k:array<string>,p:string>>")
 
     def matches(rule: Column) -> Column:
-        start = F.struct(F.lit(1).alias("at"), F.array().cast(
-            "array<struct<s:int,e:int,c:int,n:int,l:string>>").alias("found"))
-
-        def place(state: Column, match: Column) -> Column:
-            # a match starts at the first place of its words from the end of the one before
-            return _let(F.call_function("locate", F.concat(match, F.lit(" ")), padded, state.at), lambda s: F.struct(
-                (s + F.length(match)).alias("at"),
-                F.concat(state.found, F.array(F.struct(s.alias("s"), (-s - F.length(match)).alias("e"), rule.c.alias("c"),
-                                                       rule.n.alias("n"), rule.l.alias("l")))).alias("found")))
+        def intervals(found: Column) -> Column:
+            return F.transform(places(padded, rule.p, found), lambda at: F.struct(
+                at.s.alias("s"), (-at.s - at.n).alias("e"), rule.c.alias("c"), rule.n.alias("n"), rule.l.alias("l")))
 
-        return F.aggregate(F.regexp_extract_all(padded, rule.p, F.lit(0)), start, place, lambda s: s.found)
+        return _let(F.regexp_extract_all(padded, rule.p, F.lit(0)), lambda found: F.when(
+            F.size(found) > 0, intervals(found)).otherwise(F.array().cast("array<struct<s:int,e:int,c:int,n:int,l:string>>")))
 
     return F.array_sort(F.flatten(F.transform(
         F.filter(literal, lambda r: F.forall(r.k, lambda key: F.contains(padded, key))), matches)))

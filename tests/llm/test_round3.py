@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -317,3 +318,15 @@ def test_digests_of_pieces_laid_out_in_steps(monkeypatch, step):
         hashlib.sha256(",".join(map(str, p)).encode()).hexdigest() for p in parts]
     assert bpe.joined_sha256(ids, starts, pieces, 0) == [
         hashlib.sha256("".join(f"{k}," for k in p).encode()).hexdigest() for p in parts]
+
+
+def test_license_places_beyond_a_block(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm import licenses
+    texts = [" " + "水 mit  mit license ñ " * n for n in (0, 1, 3, licenses.BLOCK, licenses.BLOCK * 3 + 1)] + [" mit" * 700 + " "]
+    df = spark.createDataFrame([(i, " " + " ".join(t.split()) + " ") for i, t in enumerate(texts)], "id long, w string")
+    pattern = " (?:mit(?: license)?)(?= )"
+    got = df.select("id", "w", licenses.places(F.col("w"), F.lit(pattern), F.regexp_extract_all("w", F.lit(pattern), F.lit(0))).alias("p"))
+    for r in got.collect():
+        assert [(x.s, x.n) for x in r.p] == [(m.start() + 1, len(m.group())) for m in re.finditer(pattern, r.w)]
