@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 7).
 
 The merges run in Spark: higher-order functions fold them over the bytes of distinct words, looking
-ranks up in one literal map; a word is folded once, however often the corpus has it.
+ranks up in one map; a word is folded once, however often the corpus has it.
 
 1. Spark splits the texts into words.  A ``mapInArrow`` pass cuts each partition into blocks of
    about ``BLOCK_WORDS`` words, numbers a block's distinct words, writes the block's documents as
@@ -65,14 +65,33 @@ def java_pattern(pattern: str) -> str:
             .replace(r"\s", r"\p{IsWhite_Space}"))
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of maps, token (bytes as U+0000..U+00FF) -> rank character, in bucket
+_RANKS = "array<map<string,string>>"
+
+
+def rank_buckets(ranks: dict[bytes, int]) -> str:
+    """JSON array of maps, token (bytes as U+0000..U+00FF) -> rank character, in bucket
     the low bits of crc32(token): an element is found in O(1), where one large map is searched in O(n)."""
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = chr(_BASE + rank)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    return json.dumps(buckets)
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The buckets as a literal: the cheapest to look words up in."""
+    return F.from_json(F.lit(rank_buckets(ranks)), _RANKS)
+
+
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The buckets as the one value of a small table in the shared folder.  A literal is written out in
+    every description of the plan (millions of characters, anew with each step of an adaptive query),
+    which a driver that runs more than this query has no room for; a lookup takes a fifth longer."""
+    path = shared_path(spark, "ranks")
+    fs, root = _open(path)
+    with fs.open_output_stream(root) as f:
+        f.write(rank_buckets(ranks).encode())
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", _RANKS)).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -211,9 +230,9 @@ def put_in_place(own: np.ndarray, numbers: np.ndarray, word_ids: np.ndarray, siz
     return word_ids[at], np.append(0, ends)[np.append(0, np.cumsum(own))]
 
 
-def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str,
+def _encoded(docs: DataFrame, ranks: Column, pattern: str, schema: str,
              rows: Callable[[pa.ChunkedArray, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
-    """``rows(doc_ids, ids, starts)`` of every block."""
+    """``rows(doc_ids, ids, starts)`` of every block; ``ranks`` is a :func:`rank_map` or :func:`rank_table`."""
     spark = docs.sparkSession
     out = shared_path(spark, "bpe")
     fs, root = _open(out)
@@ -223,7 +242,9 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str
     group = F.shiftright("place", _NUMBER + _BLOCK + (GROUP - 1).bit_length())
     words = (_words(docs, out, pattern).repartition(n, "word").groupBy("word", group.alias("grp"))
              .agg(F.collect_list("place").alias("places")))
-    ids = words.select("places", F.when(F.col("word") != "", bpe_ids(F.col("word"), rank_map(ranks))).alias("ids"))
+    # a column of its own first: a subquery may not be written inside a fold, into which Spark then moves it
+    ids = words.withColumn("ranks", ranks).select(
+        "places", F.when(F.col("word") != "", bpe_ids(F.col("word"), F.col("ranks"))).alias("ids"))
     back = ids.select(F.explode("places").alias("place"), "ids")
 
     def block(found: pa.Table) -> pa.Table:
@@ -244,7 +265,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         return pa.table({"doc_id": doc_ids, "n_tokens": np.diff(starts), "ids": listed})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _encoded(docs, ranks, pattern, f"doc_id {kind}, n_tokens long, ids array<int>", rows)
+    return _encoded(docs, rank_table(docs.sparkSession, ranks), pattern, f"doc_id {kind}, n_tokens long, ids array<int>", rows)
 
 
 def decode(ids: list[int], tokens: dict[int, bytes]) -> bytes:
@@ -283,7 +304,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                          "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _encoded(docs, ranks, pattern,
+    return _encoded(docs, rank_map(ranks), pattern,
                     f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 
 
