@@ -65,3 +65,33 @@ def test_vectors_have_k_places(spark):
     _, edges = _edges(60, 2)
     found, _ = sp.spectral_embedding(spark.createDataFrame(edges, "src long, dst long, weight double"), 2)
     assert found.where(F.size("vector") != 2).isEmpty()
+
+
+def test_parts_equal_numpy_and_steps_are_not_written(spark, monkeypatch):
+    names, put = [], sp.stored
+    monkeypatch.setattr(sp, "stored", lambda df, name: (names.append(name), put(df, name))[1])
+    monkeypatch.setattr(sp, "SMALL", 16, raising=False)  # 8 parts of about 15 nodes
+    w, edges = _edges(120, 5)
+    found, values = sp.spectral_embedding(spark.createDataFrame(edges, "src long, dst long, weight double"), 4)
+    d = 1 / np.sqrt(w.sum(1))
+    want, vectors = np.linalg.eigh(w * d[:, None] * d)
+    assert np.allclose(values, want[::-1][:4], atol=1e-3)
+    u = np.array([r.vector for r in found.orderBy("id").collect()])
+    v = vectors[:, ::-1][:, :4]
+    assert np.allclose(u.T @ u, np.eye(4), atol=1e-6)
+    assert np.linalg.norm(u @ u.T - v @ v.T) < 0.05
+    # one table a round beside the three of the graph and the result, not one a product
+    assert len(names) == names.count("block") + 3
+
+
+def test_a_product_sends_a_node_once_to_a_part(spark):
+    n, parts, width = 200, 4, 5
+    _, edges = _edges(n, 4)
+    links, found = sp._normalised(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    graph = sp._graph(links, parts)
+    sent = sp._started(graph, width, 1).collect()
+    graph.unpersist()
+    assert found == n and sum(len(r.prev) for r in sent if r.peer < 0) == n * width * 4
+    copies = sum(len(r.cur) for r in sent if r.peer >= 0) / (width * 4)
+    # the ends of the edges between parts are several times as many
+    assert copies <= n * (parts - 1) < len(edges)
