@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.numeric import np_round
 from quarry.functions.text import STOP_WORDS, clean_tokens, valid_tokens
 from quarry.operators import tfidf
+from quarry.operators.words import word_counts
 from quarry.plans.registry import register
 from quarry.plans.saturation_queries import clean_tokens_sql
 from quarry.plans.standins import np_round_sql
@@ -67,6 +68,9 @@ _WORDS = "list_filter(tokens, lambda t: length(t) >= 2)"
 
 
 def _word_tfidf(spark, sf, ngram=(1, 1)):
+    if ngram == (1, 1):
+        texts = table(spark, sf, "documents").select("doc_id", "lang", "text")
+        return tfidf.fit_counts(word_counts(texts, "text", STOP_WORDS, 2), "doc_id", ["lang"])
     d = cleaned_docs(spark, sf).withColumn("terms", tfidf.word_terms(F.col("tokens"), ngram))
     return tfidf.fit_tfidf(d, "doc_id", "terms", ["lang"])
 
