@@ -25,19 +25,21 @@ def mapping(spark, sf, keywords: bool = False):
     from quarry.operators.tfidf import top_terms
     from quarry.plans.text_queries import _word_tfidf
     d = table(spark, sf, "documents")
-    m = d.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("count"))
     columns = [F.col("lang").alias("crop"), F.col("text").alias("query_text"),
                F.when(F.col("source") == "src0", F.lit(-1))
                .otherwise(F.substring("source", 4, 10).cast("int")).alias("cluster_id"), "count"]
     if not keywords:
-        return m.select(*columns)
+        return d.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("count")).select(*columns)
     _, w = _word_tfidf(spark, sf)
     kw = top_terms(w, ["lang", "doc_id"], 5).select(
         "lang", "doc_id", F.array_join("keywords", ", ").alias("kw"))
+    # a text stands for itself by its digest where it is only compared: texts are shuffled once
+    keyed = d.select("doc_id", "lang", "source", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_key"))
+    m = keyed.groupBy("lang", "source", "_key").agg(F.count(F.lit(1)).alias("count"), F.first("text").alias("text"))
     # identical texts of one crop have identical keywords: one value per (crop, text)
-    kwt = (d.select("doc_id", "lang", "text").join(kw, ["lang", "doc_id"])
-           .groupBy("lang", "text").agg(F.min("kw").alias("top_keywords")))
-    return m.join(kwt, ["lang", "text"], "left").select(
+    kwt = (keyed.select("doc_id", "lang", "_key").join(kw, ["lang", "doc_id"])
+           .groupBy("lang", "_key").agg(F.min("kw").alias("top_keywords")))
+    return m.join(kwt, ["lang", "_key"], "left").select(
         *columns, F.coalesce(F.col("top_keywords"), F.lit("")).alias("top_keywords"))
 
 
